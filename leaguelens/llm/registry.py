@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leaguelens.llm.common import table
+from leaguelens.llm.mixing import mix_documents
+from leaguelens.llm.simhash import simhash_components
 from leaguelens.llm.sp_encode import encode_documents
 
 
@@ -12,8 +14,18 @@ def op2_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), full=False)
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
 QUERIES = {
     "op2_encode": op2_encode,
+    "op3_mix": op3_mix,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
