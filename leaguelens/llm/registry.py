@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leaguelens.llm.common import table
 from leaguelens.llm.mixing import mix_documents
+from leaguelens.llm.pii import find_personal_data
 from leaguelens.llm.simhash import simhash_components
 from leaguelens.llm.sp_encode import encode_documents
 
@@ -22,10 +23,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_encode": op2_encode,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
