@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leaguelens.llm.common import table
+from leaguelens.llm import quality
+from leaguelens.llm.common import remainder, table
 from leaguelens.llm.mixing import mix_documents
 from leaguelens.llm.pii import find_personal_data
 from leaguelens.llm.simhash import simhash_components
 from leaguelens.llm.sp_encode import encode_documents
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = quality.score_documents(docs, model)
+    return scored.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op2_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), full=False)
 
@@ -28,6 +39,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_encode": op2_encode,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
