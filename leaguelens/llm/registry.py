@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leaguelens.llm import quality
 from leaguelens.llm.common import remainder, table
 from leaguelens.llm.mixing import mix_documents
+from leaguelens.llm.nn_descent import near_groups
 from leaguelens.llm.pii import find_personal_data
 from leaguelens.llm.simhash import simhash_components
 from leaguelens.llm.sp_encode import encode_documents
@@ -43,6 +44,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_encode": op2_encode,
@@ -50,6 +55,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
     "op8_pii": op8_pii,
+    "op9_near_vectors": op9_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {
