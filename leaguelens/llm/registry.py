@@ -9,6 +9,7 @@ from leaguelens.llm import quality
 from leaguelens.llm.common import remainder, table
 from leaguelens.llm.mixing import mix_documents
 from leaguelens.llm.nn_descent import near_groups
+from leaguelens.llm.packing import pack_documents
 from leaguelens.llm.pii import find_personal_data
 from leaguelens.llm.simhash import simhash_components
 from leaguelens.llm.sp_encode import encode_documents
@@ -40,6 +41,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
+    "op7_pack": op7_pack,
     "op8_pii": op8_pii,
     "op9_near_vectors": op9_near_vectors,
 }
