@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +94,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(roots).groupBy("node").agg(
         F.min("component_id").alias("component_id")
     )
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect frames that nothing holds any more, so that their shuffle files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def runs(batches: Iterator[pd.DataFrame], key: str, least: int, solve: Callable) -> Iterator[pd.DataFrame]:
+    """Give ``solve`` whole runs of equal ``key`` from sorted batches, at least ``least`` rows at a time."""
+    held, n = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        n += len(pdf)
+        keys = pdf[key].to_numpy()
+        if n >= least and keys[0] != keys[-1]:
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield solve(pd.concat([*held[:-1], pdf.iloc[:cut]], ignore_index=True))
+            held = [pdf.iloc[cut:]]
+            n = len(held[0])
+    if held:
+        yield solve(pd.concat(held, ignore_index=True))

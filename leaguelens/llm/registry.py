@@ -11,6 +11,7 @@ from leaguelens.llm.mixing import mix_documents
 from leaguelens.llm.nn_descent import near_groups
 from leaguelens.llm.packing import pack_documents
 from leaguelens.llm.pii import find_personal_data
+from leaguelens.llm.repeats import remove_repeats
 from leaguelens.llm.simhash import simhash_components
 from leaguelens.llm.sp_encode import encode_documents
 from leaguelens.llm.topk import top_k
@@ -41,6 +42,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
     "op5_topk": op5_topk,
+    "op6_repeats": op6_repeats,
     "op7_pack": op7_pack,
     "op8_pii": op8_pii,
     "op9_near_vectors": op9_near_vectors,
