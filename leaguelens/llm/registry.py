@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaguelens.llm import quality
+from leaguelens.llm import lm_score, quality
 from leaguelens.llm.common import remainder, table
 from leaguelens.llm.mixing import mix_documents
 from leaguelens.llm.nn_descent import near_groups
@@ -58,6 +58,12 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_score.score_documents(docs, remainder("doc_id", 10) != 0)
+    return scored.withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_encode": op2_encode,
@@ -68,6 +74,7 @@ QUERIES = {
     "op7_pack": op7_pack,
     "op8_pii": op8_pii,
     "op9_near_vectors": op9_near_vectors,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
