@@ -1,12 +1,65 @@
-"""The corpus pipeline: stages that each apply one training-data operator."""
+"""The corpus pipeline: stages that each apply one training-data operator.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leaguelens.llm import quality
+from leaguelens.llm.common import materialize, remainder, table
+from leaguelens.llm.mixing import mix_documents
+from leaguelens.llm.pii import mask_personal_data
+from leaguelens.llm.simhash import bits_for_similarity, simhash_components
+from leaguelens.llm.sp_encode import encode_documents
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return quality.score_documents(docs, model).where(F.col("score") >= 0.3).select(docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate group: shingles of five words, similarity 0.8."""
+    groups = materialize(simhash_components(docs, 5, bits_for_similarity(0.8), parts=4, max_wide=bits_for_similarity(0.8, 256)), "pipeline-groups")
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    if kept.count() < groups.where("doc_id = component_id").count():
+        docs = docs.dropDuplicates(["doc_id"])
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    return mask_personal_data(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words; a fraction counts as a draw that follows from the id."""
+    taken = mix_documents(docs.select("doc_id", "source", "text")).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("share"))
+    taken = taken.groupBy("doc_id").agg(F.avg("share").alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
+    copies = (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("long")).cast("int")
+    counted = taken.select("doc_id", copies.alias("copies")).where("copies > 0")
+    repeated = docs.join(counted, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every document of the mix."""
+    return encode_documents(docs, full=False)
 
-from leaguelens.llm.common import materialize, table
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", keep_distinct),
+    ("PII", mask_private),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: The stages learn models and draw samples, which SQL can't express.
 ORACLE_SQL: str | None = None
@@ -15,6 +68,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{number}")
     return STAGES[-1][1](spark, docs, sf_dir)
