@@ -1,0 +1 @@
+"""Column functions: text, casts, statistics and hashes."""

@@ -1,0 +1 @@
+"""Relational building blocks: deduplication, change data, validation, entity resolution, storage."""

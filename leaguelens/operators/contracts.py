@@ -1,0 +1,94 @@
+"""Entity contracts: typed columns, required ones, keys, and checks against them."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leaguelens.functions.casts import lenient
+
+
+class ContractError(ValueError):
+    """A frame does not meet its contract."""
+
+
+@dataclass(frozen=True)
+class Contract:
+    name: str
+    types: dict[str, str]
+    optional: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+
+    @property
+    def required(self) -> tuple[str, ...]:
+        return tuple(c for c in self.types if c not in self.optional)
+
+
+def _types(spec: str) -> dict[str, str]:
+    return {name: kind for name, kind in (part.split(":") for part in spec.split())}
+
+
+CONTRACTS = {
+    c.name: c
+    for c in (
+        Contract("league", _types("league_key:string league_id:string game_id:bigint game_code:string season:bigint league_name:string scoring_type:string league_type:string num_teams:bigint"), ("num_teams",), ("league_key",)),
+        Contract("team", _types("team_key:string league_key:string team_id:bigint team_name:string owner_name:string draft_position:bigint"), ("draft_position",), ("team_key",)),
+        Contract("player", _types("player_key:string player_id:bigint game_id:bigint full_name:string display_position:string editorial_team_abbr:string"), ("editorial_team_abbr",), ("player_key",)),
+        Contract("draft_pick", _types("league_key:string season:bigint team_key:string player_key:string pick_number:bigint round_number:bigint cost:bigint"), ("cost",), ("league_key", "season", "pick_number")),
+        Contract("transaction", _types("transaction_key:string league_key:string season:bigint transaction_type:string status:string player_key:string source_team_key:string destination_team_key:string"), ("player_key", "source_team_key", "destination_team_key"), ()),
+        Contract("stat_category", _types("game_id:bigint stat_id:string display_name:string name:string"), (), ("game_id", "stat_id")),
+        Contract("scoring_rule", _types("league_key:string season:bigint stat_id:string points_per_unit:double bonus_target:double bonus_points:double"), ("bonus_target", "bonus_points"), ()),
+        Contract("standings", _types("league_key:string season:bigint team_key:string rank:bigint wins:bigint losses:bigint ties:bigint points_for:double points_against:double"), ("ties",), ("league_key", "season", "team_key")),
+        Contract("matchups", _types("league_key:string season:bigint week:bigint team_key:string opponent_team_key:string points:double opponent_points:double is_playoff:boolean is_consolation:boolean"), ("is_playoff", "is_consolation"), ("league_key", "season", "week", "team_key")),
+        Contract("roster_entries", _types("league_key:string season:bigint week:bigint team_key:string player_key:string selected_position:string is_starting:boolean points:double"), ("points",), ("league_key", "season", "week", "team_key", "player_key")),
+        Contract("player_stats_weekly", _types("league_key:string season:bigint week:bigint player_key:string fantasy_points:double status:string bye_week:bigint") | {"stats": "array<struct<stat_id:string,value:double>>"}, ("fantasy_points", "status", "bye_week", "stats"), ("league_key", "season", "week", "player_key")),
+    )
+}
+
+
+def empty(spark: SparkSession, contract: Contract) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in contract.types.items()))
+
+
+def conform(df: DataFrame, contract: Contract, keep_extra: bool = False) -> DataFrame:
+    """Contract columns in order, leniently cast; missing ones null; extras only on request."""
+    cols = []
+    for c, t in contract.types.items():
+        if c not in df.columns:
+            cols.append(F.lit(None).cast(t).alias(c))
+        elif dict(df.dtypes)[c] == t or t.startswith("array"):
+            cols.append(F.col(c))
+        else:
+            cols.append(lenient(F.col(c), t).alias(c))
+    return df.select(*cols, *[c for c in df.columns if keep_extra and c not in contract.types])
+
+
+def check_columns(df: DataFrame, contract: Contract, allow_extra: bool = False) -> list[str]:
+    """Messages on missing and unexpected columns; no job runs."""
+    missing = [c for c in contract.required if c not in df.columns]
+    extra = [] if allow_extra else sorted(set(df.columns) - set(contract.types))
+    return [f"{contract.name}: missing columns {missing}"] * bool(missing) + [f"{contract.name}: unexpected columns {extra}"] * bool(extra)
+
+
+def check_rows(df: DataFrame, contract: Contract, allow_empty: bool = False) -> list[str]:
+    """Messages on emptiness, nulls in required columns and repeated keys, from two aggregations."""
+    required = [c for c in contract.required if c in df.columns]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required]).first()
+    out = [f"{contract.name}: table is empty"] * (row.n == 0 and not allow_empty)
+    out += [f"{contract.name}: {row[f'null_{c}']} null values in {c}" for c in required if row[f"null_{c}"]]
+    if contract.key and set(contract.key) <= set(df.columns):
+        distinct = df.groupBy(*contract.key).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0]
+        out += [f"{contract.name}: {distinct} duplicate keys on {list(contract.key)}"] * bool(distinct)
+    return out
+
+
+def validated(df: DataFrame, contract: Contract, keep_extra: bool = False, allow_empty: bool = True) -> DataFrame:
+    """The conformed frame; raises ``ContractError`` with all messages."""
+    problems = check_columns(df, contract, keep_extra)
+    out = conform(df, contract, keep_extra)
+    problems += check_rows(out, contract, allow_empty)
+    if problems:
+        raise ContractError("; ".join(problems))
+    return out

@@ -1,0 +1 @@
+"""Readers for rankings files, pages and payloads, and an offset-driven source."""
