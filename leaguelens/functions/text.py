@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Codes and aliases that results must agree on.
 ALLOWED_POSITIONS = ("QB", "RB", "WR", "TE", "DST", "K")
@@ -30,19 +31,19 @@ SUFFIXES = ("JR", "SR", "II", "III", "IV", "V")
 POSITION_ORDER = ("QB", "RB", "WR", "TE", "FLEX", "DEF")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, ASCII characters only."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of ``a`` to ``b``; the order of arguments matters."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
