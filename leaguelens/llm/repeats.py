@@ -6,7 +6,8 @@ Contexts of equal content are repeats of their first one.  Where a gram has diff
 contexts, only the first of each is left to compare; their bytes are gathered, and a
 suffix array by linear grouping construction (``suffix_groups``) orders the windows, so
 that equal ones stand together.  Copies are merged inside each task before anything is
-shuffled; a gram with very many contexts is compared window by window instead, by digests.
+shuffled; a gram with very many contexts is compared window by window instead, by digests,
+and where one task already sees that it is crowded its contexts are spread over all tasks.
 
 Windows and contexts are told apart by 128 bits of hash; the suffix array compares bytes.
 """
@@ -26,8 +27,11 @@ from leaguelens.llm.common import materialize, release, runs
 from leaguelens.llm.suffix_groups import suffix_array
 
 GRAM = 24
-#: Bytes hashed at once; contexts above which a gram is compared by window digests; bytes of a suffix array.
-BATCH, MANY, SORTED = 1 << 21, 2000, 16_000
+#: Bytes hashed at once; contexts above which a gram is compared by window digests, in all and
+#: among CHUNK contexts of one task; bytes of a suffix array.
+BATCH, MANY, CROWD, CHUNK, SORTED = 1 << 21, 2000, 64, 400_000, 16_000
+#: Marks in x: a context of a crowded gram; the notice that a gram is crowded somewhere.
+_CROWDED, _NOTICE = 1 << 61, 1 << 62
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
 
@@ -161,8 +165,11 @@ def _sharing(group: list[tuple], window: int) -> list[tuple]:
     return [c for c in group if any(k and seen[k] > 1 for k in keys(c))]
 
 
-def _anchored(docs: DataFrame, window: int) -> DataFrame:
-    """Contexts (x >= 0) and, for copies inside a task, flags (x < 0)."""
+def _anchored(docs: DataFrame, window: int, crowd: int) -> DataFrame:
+    """Contexts (x >= 0) and, for copies inside a task, flags (x < 0).
+
+    Contexts of a gram crowded in this task go by gram and content; a notice goes by gram.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find, texts, size, found, n = Anchors(window), [], 0, [], 0
@@ -175,7 +182,7 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
                     if size + len(part) > BATCH:
                         found.append(find(texts))
                         n, texts, size = n + len(found[-1][0]), [], 0
-                        if n > 400_000:
+                        if n > CHUNK:
                             yield from merged(found)
                             found, n = [], 0
                     texts.append((doc, at, part))
@@ -188,7 +195,12 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
     def merged(found: list) -> Iterator[pd.DataFrame]:
         g, c, d, lo, shape = (np.concatenate(x) for x in zip(*found))
         first, later = _later([g, c], d, lo)
-        yield pd.DataFrame({"g": g[first].astype(np.int64), "c": c[first].astype(np.int64), "d": d[first], "x": lo[first] << 16 | shape[first]})
+        several, place, count = np.unique(g[first], return_inverse=True, return_counts=True)
+        crowded = count[place] > crowd
+        key = np.where(crowded, (g[first] ^ (c[first] >> _U(7))) * _U(0xD6E8FEB86659FD93), g[first])
+        x = lo[first] << 16 | shape[first] | np.where(crowded, _CROWDED, 0)
+        yield pd.DataFrame({"g": key.astype(np.int64), "c": c[first].astype(np.int64), "d": d[first], "x": x})
+        yield pd.DataFrame({"g": several[count > crowd].astype(np.int64), "c": 0, "d": 0, "x": _NOTICE})
         yield _flags(d[later], lo[later], (shape[later] >> 8) + 1)
 
     return docs.mapInPandas(run, "g long, c long, d long, x long")
@@ -199,14 +211,19 @@ def _compared(anchored: DataFrame, many: int) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         flags = pdf[pdf["x"] < 0]
-        rows = pdf[pdf["x"] >= 0]
+        notices = pdf["g"][pdf["x"] == _NOTICE].unique()
+        rows = pdf[(pdf["x"] >= 0) & (pdf["x"] != _NOTICE)]
         g, c, d, x = (rows[k].to_numpy() for k in "gcdx")
+        crowded = (x & _CROWDED != 0) | np.isin(g, notices)
+        x = x & (_CROWDED - 1)
         lo = x >> 16
         first, later = _later([g, c], d, lo)
         _, place, n = np.unique(g[first], return_inverse=True, return_counts=True)
         n = n[place]
-        keep = first[n > 1]
-        left = pd.DataFrame({"g": g[keep], "c": (n[n > 1] > many).astype(np.int64), "d": d[keep], "x": x[keep]})
+        keep = (n > 1) | crowded[first]
+        by_window = (crowded[first] | (n > many))[keep]
+        keep = first[keep]
+        left = pd.DataFrame({"g": g[keep], "c": by_window.astype(np.int64), "d": d[keep], "x": x[keep]})
         return pd.concat([flags, left, _flags(d[later], lo[later], ((x[later] >> 8) & 255) + 1)])
 
     dealt = anchored.repartition(F.col("g")).sortWithinPartitions("g")
@@ -284,7 +301,7 @@ def covered(flags: list[int], window: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, many: int = MANY) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, many: int = MANY, crowd: int = CROWD) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts earlier.
 
     Earlier: in a smaller id, or at a smaller place of the same document; strings are
@@ -299,7 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     spark, last = docs.sparkSession, (1 << 63) - 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("d"), F.col(text_col).alias("t"))
     texts = rows.select("d", "t")
-    compared = materialize(_compared(_anchored(texts, window), many), "repeats-contexts")
+    compared = materialize(_compared(_anchored(texts, window, crowd), many), "repeats-contexts")
     release(spark)
     more = materialize(_resolved(texts, compared.where("x >= 0"), window), "repeats-windows")
     release(spark)

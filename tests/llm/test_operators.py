@@ -233,8 +233,8 @@ def test_suffix_array():
         assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("many", [2000, 1])
-def test_repeats(docs, nothing, many):
+@pytest.mark.parametrize(("many", "crowd"), [(2000, 64), (1, 64), (2000, 1)])
+def test_repeats(docs, nothing, many, crowd):
     window, seen, want = 40, set(), {}
     for i, t in enumerate(TEXTS):
         raw = (t or "").encode()
@@ -246,7 +246,7 @@ def test_repeats(docs, nothing, many):
         kept = bytes(np.frombuffer(raw, np.uint8)[~hit])
         runs = int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum())
         want[i] = (i, len(raw), int(hit.sum()), runs, hashlib.sha256(kept).hexdigest())
-    got = repeats.remove_repeats(docs, window, many=many).collect()
+    got = repeats.remove_repeats(docs, window, many=many, crowd=crowd).collect()
     assert len(got) == len(TEXTS) + 1 and all(tuple(r) == want[r.doc_id] for r in got)
     assert repeats.remove_repeats(nothing).count() == 0
 
