@@ -118,3 +118,15 @@ def runs(batches: Iterator[pd.DataFrame], key: str, least: int, solve: Callable)
             n = len(held[0])
     if held:
         yield solve(pd.concat(held, ignore_index=True))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` of ``total`` rows, in the order of a hash of ``key``.
+
+    A threshold on the hash goes first, so that tasks pass on about ``rows`` rows in all,
+    however many tasks there are.
+    """
+    share = min(1.0, (1.5 * rows + 100) / max(total, 1))
+    place = F.xxhash64(key)
+    near = df.where(place <= F.lit(int(-(2**63) + share * (2**64 - 2)))) if share < 1 else df
+    return near.orderBy(place, key).limit(rows)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leaguelens.llm.common import hash_sample
+
 BITS = 18
 #: Most labelled documents that a fit takes, chosen by a hash of the id.
 FIT_ROWS = 6000
@@ -133,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FI
     the sample reach the driver.
     """
     named = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
-    sample = named.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    sample = hash_sample(named, "id", fit_rows, named.count())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
     texts = texts.groupBy("id", "y").agg(F.min("t").alias("t"))
 
