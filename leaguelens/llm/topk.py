@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import materialize
+from leaguelens.llm.common import hash_sample, materialize
 
 #: Most pivots; rows of a query block and of a data block.
 PIVOTS, QUERY_BLOCK, DATA_BLOCK = 64, 512, 8192
@@ -54,7 +54,7 @@ def top_k(
     dim, total = sizes[0].d, sizes[0]["count"]
     rows = rows.where(F.size("v") == dim)
     # pivots: a bounded sample by hash
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, total // 256))).collect()
+    sample = hash_sample(rows, "id", min(pivots, max(1, total // 256)), total).collect()
     centre = np.array([r.v for r in sample], float)
     sent = spark.sparkContext.broadcast(centre)
 
