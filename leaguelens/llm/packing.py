@@ -128,7 +128,7 @@ def pack_documents(
             total = sum(lengths)
             ids = np.concatenate([p[2] for p in parts] + [np.full(length - total, pad_id, kind)])
             at = np.concatenate([np.arange(n) for n in [*lengths, length - total]]).astype(kind)
-            names = [None if pd.isna(p[0]) else int(p[0]) for p in parts]
+            names = [None if p[0] is None else int(p[0]) for p in parts]
             out.append((shard, window, number, total, names, [p[1] for p in parts], [0, *np.cumsum(lengths).tolist()], ids.tobytes(), at.tobytes()))
             if len(out) == 1000:
                 yield pd.DataFrame(out, columns=names_out)
@@ -137,7 +137,7 @@ def pack_documents(
             yield pd.DataFrame(out, columns=names_out)
 
     names_out = [x.split()[0] for x in SCHEMA.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
     if not GRAM < window <= 255:
         raise ValueError("window must be between the gram's length and 255")
     spark, last = docs.sparkSession, (1 << 63) - 1
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("d"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("d"), F.col(text_col).alias("t"))
     texts = rows.select("d", "t")
     compared = materialize(_compared(_anchored(texts, window, crowd), many), "repeats-contexts")
     release(spark)
@@ -333,10 +333,12 @@ def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", t
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                row = [None if pd.isna(key) else int(key), len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
+                row = [key, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
                 out.append([*row, kept] if keep_text else row)
             yield pd.DataFrame(out, columns=names)
 
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return rows.join(flags, "d", "left").select("id", "t", "flags").mapInPandas(cut, schema)
+    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    # ids travel as text, as pandas would turn longs with nulls into floats
+    schema = "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    done = rows.join(flags, "d", "left").select("id", "t", "flags").mapInPandas(cut, schema)
+    return done.select(F.col("k").cast("long").alias(id_col), *names[1:])

@@ -61,7 +61,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 5, seed: int = 42, parts:
             fps = np.array([fingerprint(t, shingle_words, seed, parts) for t in pdf["t"]], np.uint64).reshape(-1, parts)
             yield pd.DataFrame({"id": pdf["id"], "fp": fps[:, 0].astype(np.int64), "wide": [r.tobytes() for r in fps[:, 1:]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id long, fp long, wide binary")
+    # ids travel as text, as pandas would turn longs with nulls into floats
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id string, fp long, wide binary")
+    return found.withColumn("id", F.col("id").cast("long"))
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:

@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
     Returns id, n_tokens, ids_sha256, decoded_sha256 and, with ``full``, ids
     (array<int>) and decoded.  ``model_path`` must be readable on every executor (None:
     the installed public model).  A null or empty text gives the begin and end ids
-    alone.  Other columns of ``docs`` are ignored, repeated rows give repeated rows.
+    alone.  Other columns of ``docs`` are ignored, repeated rows give repeated rows, null ids stay.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,6 +216,8 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
             yield pd.DataFrame(rows, columns=names)
 
     kind = dict(docs.dtypes)[id_col]
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * full
+    schema = "k string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
+    # ids travel as text, as pandas would turn longs with nulls into floats
+    done = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return done.select(F.col("k").cast(kind).alias(id_col), *names[1:])

@@ -42,6 +42,22 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_null_and_large_ids(spark):
+    big = (1 << 60) + 1
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    df = spark.createDataFrame([(big, text, "s"), (None, text, "s"), (big + 1, None, None)], "doc_id long, text string, source string").coalesce(1)
+    cond = F.col("doc_id") > 0
+    for out in (
+        encode_documents(df), mixing.mix_documents(df), simhash.simhash_components(df), repeats.remove_repeats(df), pii.find_personal_data(df),
+        lm_score.score_documents(df, cond, fit_tokens=100),
+    ):
+        assert sorted(r.doc_id or 0 for r in out.collect()) == [0, big, big + 1]
+    packed = [k for r in packing.pack_documents(df, 64).collect() for k in r.doc_ids]
+    assert sorted(k or 0 for k in packed) == [0, big, big + 1]
+    removed = {r.doc_id: r.n_removed for r in repeats.remove_repeats(df).collect()}
+    assert removed[big] == 0 and removed[None] == len(text)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 90), (90, 91), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.component_id for r in connected_components(edges).collect()}
