@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leaguelens.functions import casts, hashing, stats, text
-from leaguelens.operators import change, dedup
+from leaguelens.operators import change, dedup, resolve
 from leaguelens.plans import league as L
 from leaguelens.plans import driver as D
+from leaguelens.plans import models
 from leaguelens.sources import pages as P
+from leaguelens.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -563,3 +565,69 @@ def availability(spark, d):
     adp = (F.col("p_partkey") % 216 + 1).cast("double")
     out = stats.p_available(adp, position, F.col("p_size").cast("double"), F.col("pick"), _BETA, _GAMMA)
     return p.crossJoin(F.broadcast(picks)).select("p_partkey", "pick", F.round(out, 6).alias("p"))
+
+
+# ---- resolution, incremental loads, simulations
+
+@query("""
+    SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM events GROUP BY 1, 2, 3
+""")
+def windowed_counts(spark, d):
+    (e,) = _t(spark, d, "events")
+    out = incremental.windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 10000")
+def incremental_scan(spark, d):
+    (o,) = _t(spark, d, "orders")
+    return o.where(F.col("o_orderkey") > 10000).select("o_orderkey", "o_custkey")
+
+
+@query("""
+    SELECT 'customer' AS entity, count(*) AS n, count(CASE WHEN nullif(c_mktsegment, 'BUILDING') IS NULL THEN 1 END) AS null_segment, count(CASE WHEN c_name IS NULL THEN 1 END) AS null_name FROM customer
+""")
+def null_required(spark, d):
+    (c,) = _t(spark, d, "customer")
+    seg = F.nullif("c_mktsegment", F.lit("BUILDING"))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(seg.isNull()).alias("null_segment"), F.count_if(F.col("c_name").isNull()).alias("null_name")).select(F.lit("customer").alias("entity"), "n", "null_segment", "null_name")
+
+
+def _registry(spark, d) -> DataFrame:
+    (p,) = _t(spark, d, "part")
+    return dedup.first_by(p, ["p_name"], F.col("p_partkey")).select(
+        F.col("p_partkey").cast("string").alias("canonical_player_id"), F.col("p_name").alias("display_name"), F.lit("RB").alias("primary_position"), F.array().cast("array<string>").alias("aliases")
+    )
+
+
+@query("""
+    SELECT CAST(p_partkey AS VARCHAR) AS record_id, CAST(first AS VARCHAR) AS canonical_player_id, 'exact' AS method, 0.98 AS confidence
+    FROM part JOIN (SELECT p_name AS n, min(p_partkey) AS first FROM part GROUP BY 1) k ON p_name = n
+""")
+def resolve_players(spark, d):
+    (p,) = _t(spark, d, "part")
+    asked = p.select(F.col("p_partkey").cast("string").alias("record_id"), F.upper("p_name").alias("raw_player_name"), F.lit("RB").alias("position"))
+    best = resolve.match_players(asked, _registry(spark, d)).where("rank = 1")
+    return best.select("record_id", "canonical_player_id", "method", F.round("confidence", 4).alias("confidence"))
+
+
+@query(None)
+def fuzzy_players(spark, d):
+    (p,) = _t(spark, d, "part")
+    asked = p.select(F.col("p_partkey").cast("string").alias("record_id"), F.concat("p_name", F.lit("s")).alias("raw_player_name"), F.lit("RB").alias("position"))
+    return resolve.match_players(asked, _registry(spark, d))
+
+
+@query(None)
+def bye_simulation(spark, d):
+    rows = D.sql(spark, d, "SELECT c_nationkey AS k, list FROM (SELECT c_nationkey, collect_list(c_acctbal) AS list FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) x WHERE r <= 16 GROUP BY 1) y WHERE size(list) = 16")
+    # 25 nations at most
+    return models.bye_simulation(spark, {str(r.k): sorted(r.list) for r in rows.collect()}, 200, 50)
+
+
+@query(None)
+def price_intervals(spark, d):
+    (p,) = _t(spark, d, "part")
+    position = F.element_at(F.array(*map(F.lit, ("QB", "RB", "WR", "TE"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = p.select(F.col("p_partkey").cast("string").alias("player_id"), position.alias("position"), F.col("p_size").cast("double").alias("rank"), F.col("p_retailprice").alias("price"))
+    return models.price_intervals(rows, rows, ["rank"], fit_rows=300)
