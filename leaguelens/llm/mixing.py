@@ -104,7 +104,9 @@ def draw_slots(sources: DataFrame, block_words: int, seed: int, shards: int = 10
                     yield pd.DataFrame({"sid": r.sid, "block": block})
 
     drawn = sources.coalesce(1).mapInPandas(counts, "shard long, sid long, first long, n long, blocks long")
-    return drawn.repartition(F.col("shard"), F.col("sid")).mapInPandas(slots, "sid long, block long")
+    # a stated number of partitions, as the few rows that the slots come from would be put together
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.repartition(tasks, F.col("shard"), F.col("sid")).mapInPandas(slots, "sid long, block long")
 
 
 def mix_documents(
@@ -149,7 +151,8 @@ def mix_documents(
     pieces = placed.where("size > 0").select(*keep, F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b)
     times = draw_slots(sources.select("sid", "source_size", "target"), block_words, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces.withColumn("overlap", overlap).join(times, ["sid", "block"], "left").groupBy(*keep).agg(
+    # the planner takes the slots for as small as the sources that they come from: no broadcast
+    taken = pieces.withColumn("overlap", overlap).join(times.hint("merge"), ["sid", "block"], "left").groupBy(*keep).agg(
         F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken")
     )
     cols = [F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), "taken"]
