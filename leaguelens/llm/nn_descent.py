@@ -2,10 +2,12 @@
 
 Neighbour lists start from rows that sort together under random projections and improve by
 rounds of neighbours-of-neighbours joins: the members around each row meet in one small
-block, chunked so that hubs stay bounded.  Lists keep the K nearest; a list whose members
-all reach the threshold is saturated and grows to its whole link component, where links
-are counted exactly.  A brute-force audit of a bounded sample measures recall, and a
-fresh start is added while it is too low.
+block, chunked so that hubs stay bounded.  Lists keep the K nearest and, as links, all
+candidates that reach the threshold.  Rows of one component are then as good as linked:
+a further pass looks only for neighbours in other components, so that a list full of its
+own clump can't hide a link across.  Links inside components are counted exactly.  A
+brute-force audit of sampled rows measures recall; while it is too low, passes with more
+projections and reach follow, and at last a comparison of all rows in blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from leaguelens.llm.common import connected_components, materialize
 
 #: Neighbours kept, random projections per start, sort neighbours compared, members of a local join, rows of a block.
 K, PROJECTIONS, REACH, CHUNK, BLOCK = 12, 6, 6, 32, 1024
+#: Rows of a block where all rows meet; rows that the projections and reach above are meant for.
+WIDE, SMALL = 8192, 10_000
 #: Slack of the one-byte vectors used while searching.
 SLACK = 0.03
 
@@ -55,48 +59,58 @@ def _runs(batches: Iterator[pd.DataFrame], key: str, least: int, solve) -> Itera
         yield solve(held)
 
 
-def _start(nodes: DataFrame, dim: int, seed: int) -> DataFrame:
-    """First candidates (u, v, sim): rows close in the order of random sign codes."""
+def _start(nodes: DataFrame, dim: int, seed: int, projections: int = PROJECTIONS, reach: int = REACH) -> DataFrame:
+    """First candidates (u, v, sim): rows of different components ``c`` close in the order of random sign codes."""
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.default_rng(seed).standard_normal((PROJECTIONS, dim, 17)).astype(np.float32)
+        planes = np.random.default_rng(seed).standard_normal((projections, dim, 17)).astype(np.float32)
         for pdf in batches:
             x = _unpack(pdf["q"])
-            for t in range(PROJECTIONS):
+            for t in range(projections):
                 y = x @ planes[t]
                 code = (y[:, :16] > 0) @ (1 << np.arange(16))
-                yield pd.DataFrame({"t": t, "code": code, "pos": y[:, 16], "id": pdf["id"], "q": pdf["q"]})
+                yield pd.DataFrame({"t": t, "code": code, "pos": y[:, 16], "id": pdf["id"], "c": pdf["c"], "q": pdf["q"]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
         for pdf in batches:
             new = 0 if tail is None else len(tail)
             rows = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            x, ids, t = _unpack(rows["q"]), rows["id"].to_numpy(), rows["t"].to_numpy()
-            for s in range(1, REACH + 1):
+            if not len(rows):
+                continue
+            x, ids, t, c = _unpack(rows["q"]), rows["id"].to_numpy(), rows["t"].to_numpy(), rows["c"].to_numpy()
+            # the end of each row's run of its own component, beyond which others begin
+            ends = np.append(np.flatnonzero(c[1:] != c[:-1]) + 1, len(c))
+            end = ends[np.searchsorted(ends, np.arange(len(c)), side="right")]
+            for s in range(1, reach + 1):
                 i = np.arange(max(0, new - s), len(ids) - s)
-                i = i[t[i] == t[i + s]]
-                yield pd.DataFrame({"u": ids[i], "v": ids[i + s], "sim": np.einsum("ij,ij->i", x[i], x[i + s])})
-            tail = rows.iloc[-REACH:].reset_index(drop=True)
-
-    coded = nodes.select("id", "q").mapInPandas(codes, "t int, code long, pos float, id long, q binary")
+                far = np.flatnonzero(end + s - 1 < len(ids))
+                far = far[(end[far] + s - 1 >= new) & (end[far] - far > 1)]
+                i, j = np.concatenate([i, far]), np.concatenate([i + s, end[far] + s - 1])
+                ok = (t[i] == t[j]) & (c[i] != c[j])
+                i, j = i[ok], j[ok]
+                yield pd.DataFrame({"u": ids[i], "v": ids[j], "sim": np.einsum("ij,ij->i", x[i], x[j])})
+            tail = rows.iloc[-reach:].reset_index(drop=True)
+
+    coded = nodes.select("id", "c", "q").mapInPandas(codes, "t int, code long, pos float, id long, c long, q binary")
     dealt = coded.repartitionByRange("t", "code", "pos", "id").sortWithinPartitions("t", "code", "pos", "id")
     return dealt.mapInPandas(meet, "u long, v long, sim float")
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest of every row, both directions of each candidate counted."""
+def _best(pairs: DataFrame, k: int, near: float) -> DataFrame:
+    """The k nearest of every row (r <= k) and all candidates from ``near`` on, both directions of each counted."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).where("u <> v")
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     once = both.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return once.withColumn("r", F.row_number().over(order)).where((F.col("r") <= k) | (F.col("sim") >= near))
 
 
 def _descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates among the neighbours and reverse neighbours of each row."""
+    """Candidates of different components among the neighbours and reverse neighbours of each row."""
+    lists = lists.where(F.col("r") <= K)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, ids, x = pdf["cell"].to_numpy(), pdf["id"].to_numpy(), _unpack(pdf["q"])
+        cell, ids, c, x = pdf["cell"].to_numpy(), pdf["id"].to_numpy(), pdf["c"].to_numpy(), _unpack(pdf["q"])
         begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         size = np.diff(np.append(begin, len(cell)))
         out = []
@@ -105,7 +119,7 @@ def _descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
             for at in range(0, len(starts), max(1, 400_000 // int(width) ** 2)):
                 rows = starts[at : at + max(1, 400_000 // int(width) ** 2)][:, None] + np.arange(width)
                 sims = x[rows] @ x[rows].transpose(0, 2, 1)
-                sims[:, np.arange(width), np.arange(width)] = -2
+                sims[c[rows][:, :, None] == c[rows][:, None, :]] = -2
                 n = min(4, int(width) - 1)
                 best = np.argpartition(-sims, n - 1, axis=2)[:, :, :n] if n < width - 1 else np.argsort(-sims, axis=2)[:, :, :n]
                 u = np.repeat(ids[rows][:, :, None], n, 2)
@@ -116,10 +130,10 @@ def _descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     around = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).unionByName(lists.select(F.col("v").alias("w"), F.col("u").alias("id"))).distinct()
     degree = around.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     cell = F.xxhash64("w", F.pmod(F.xxhash64("id", "w"), F.col("chunks")))
-    members = around.join(degree, "w").select(cell.alias("cell"), "id").join(nodes.select("id", "q"), "id")
+    members = around.join(degree, "w").select(cell.alias("cell"), "id").join(nodes.select("id", "c", "q"), "id")
     dealt = members.repartition(F.col("cell")).sortWithinPartitions("cell")
     found = dealt.mapInPandas(lambda it: _runs(it, "cell", 20_000, join), "u long, v long, sim float")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim")
+    return found.where("sim > -2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "sim")
 
 
 def _cosine(a: str, b: str):
@@ -170,6 +184,35 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     return certain.unionByName(counted).groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _missed(nodes: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """A link (u, v), the nearest of a block, for every two components with one; all rows meet in blocks."""
+    parts = max(1, -(-rows // WIDE))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "c": pdf["c"], "x": [r.tobytes() for r in _unit(pdf["v"]).astype(np.float32)] if len(pdf) else []})
+
+    packed = nodes.select("id", "c", "v").mapInPandas(pack, "id long, c long, x binary")
+    packed = packed.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cells = packed.select((F.least("mine", "other") * parts + F.greatest("mine", "other")).cast("long").alias("cell"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "id", "c", "x")
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"u": [], "v": [], "a": [], "b": [], "sim": []}).astype({"u": "int64", "v": "int64", "a": "int64", "b": "int64", "sim": "float32"})]
+        for _, g in pdf.groupby("cell", sort=False):
+            x, ids, c = np.frombuffer(b"".join(g["x"]), np.float32).reshape(len(g), -1), g["id"].to_numpy(), g["c"].to_numpy()
+            left, right = np.flatnonzero(g["left"].to_numpy()), np.flatnonzero(g["right"].to_numpy())
+            for at in range(0, len(left), 512):
+                i = left[at : at + 512]
+                sims = x[i] @ x[right].T
+                p, q = np.nonzero((sims >= threshold - 1e-5) & (c[i][:, None] != c[right][None, :]))
+                u, v = i[p], right[q]
+                out.append(pd.DataFrame({"u": ids[u], "v": ids[v], "a": np.minimum(c[u], c[v]), "b": np.maximum(c[u], c[v]), "sim": sims[p, q]}).sort_values("sim", ascending=False).drop_duplicates(["a", "b"]))
+        return pd.concat(out).sort_values("sim", ascending=False).drop_duplicates(["a", "b"])[["u", "v"]]
+
+    dealt = cells.repartition(F.col("cell")).sortWithinPartitions("cell")
+    return dealt.mapInPandas(lambda it: _runs(it, "cell", 1, block), "u long, v long")
+
+
 def near_groups(
     vectors: DataFrame, threshold: float = 0.9, rounds: int = 3, starts: int = 3, audit_rows: int = 64, recall: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
@@ -196,19 +239,33 @@ def near_groups(
 
     classes = valid.where(F.size("v") == dim).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
     nodes = materialize(classes.select("id", "m", "v").mapInPandas(pack, "id long, m long, v array<double>, q binary"), "nn-nodes")
-    lists = links = counts = None
-    for attempt in range(starts if dim else 0):
-        pairs = _start(nodes, dim, 100 + attempt)
-        lists = materialize(_best(pairs if lists is None else pairs.unionByName(lists), K), "nn-lists")
-        for _ in range(rounds):
-            lists = materialize(_best(_descend(lists, nodes).unionByName(lists), K), "nn-lists")
-        close = lists.where(F.col("sim") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        a, b = nodes.select(F.col("id").alias("u"), F.col("v").alias("a")), nodes.select(F.col("id").alias("v"), F.col("v").alias("b"))
-        links = close.join(a, "u").join(b, "v").where(_cosine("a", "b") >= threshold).select("u", "v")
-        parts = materialize(connected_components(links), "nn-parts")
-        members = nodes.join(parts, F.col("id") == F.col("node")).select(F.col("component_id").alias("component"), "id", "m", "v")
-        counts = materialize(_count_links(members, threshold), "nn-counts")
-        if _audit(nodes, counts, threshold, audit_rows) >= recall:
+    counts = links = parts = None
+    rows = nodes.count() if dim else 0
+    ends = [nodes.select(F.col("id").alias(i), F.col("v").alias(x)) for i, x in (("u", "a"), ("v", "b"))]
+    for attempt in range(starts + 1 if dim else 0):
+        known = nodes.withColumn("c", F.col("id"))
+        if parts is not None:
+            known = materialize(nodes.join(parts, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("node", "component_id"), "nn-known")
+        lists = None
+        if attempt == starts:
+            close = _missed(known, threshold, rows)
+        else:
+            # the chance that two near rows sort together falls slowly with the number of rows
+            grown = 2**attempt * max(1.0, rows / SMALL) ** 0.25
+            lists = materialize(_best(_start(known, dim, 100 + attempt, math.ceil(PROJECTIONS * grown), math.ceil(REACH * grown)), K, threshold - SLACK), "nn-lists")
+            for _ in range(rounds):
+                lists = materialize(_best(_descend(lists, known).unionByName(lists.drop("r")), K, threshold - SLACK), "nn-lists")
+            close = lists.where(F.col("sim") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = materialize(close.join(ends[0], "u").join(ends[1], "v").where(_cosine("a", "b") >= threshold).select("u", "v"), "nn-links")
+        found = new.count()
+        if found or counts is None:
+            links = new if links is None else links.unionByName(new)
+            parts = materialize(connected_components(links), "nn-parts")
+            members = nodes.join(parts, F.col("id") == F.col("node")).select(F.col("component_id").alias("component"), "id", "m", "v")
+            counts = materialize(_count_links(members, threshold), "nn-counts")
+        # full lists may hide links to other components; the next pass looks there
+        full = lists is not None and found and not lists.where((F.col("r") >= K) & (F.col("sim") >= threshold - SLACK)).isEmpty()
+        if not full and _audit(nodes, counts, threshold, audit_rows) >= recall:
             break
     if counts is None:
         named = valid.where("false").select("v", F.col("id").alias("rep"), F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
