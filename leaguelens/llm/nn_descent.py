@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import connected_components, materialize
+from leaguelens.llm.common import connected_components, hash_sample, materialize
 
 #: Neighbours kept, random projections per start, sort neighbours compared, members of a local join, rows of a block.
 K, PROJECTIONS, REACH, CHUNK, BLOCK = 12, 6, 6, 32, 1024
@@ -214,7 +214,7 @@ def _missed(nodes: DataFrame, threshold: float, rows: int) -> DataFrame:
 
 
 def near_groups(
-    vectors: DataFrame, threshold: float = 0.9, rounds: int = 3, starts: int = 3, audit_rows: int = 64, recall: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.9, rounds: int = 3, starts: int = 3, audit_rows: int = 4096, recall: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """Groups of vectors linked by a cosine of at least ``threshold``.
 
@@ -283,22 +283,26 @@ def near_groups(
 
 
 def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, rows: int) -> float:
-    """Share of the links of ``rows`` sampled rows, counted by brute force in blocks, that were found."""
-    sample = nodes.join(counts.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left").select("id", "v", F.coalesce("n", "m").alias("n"))
-    # half the sample from rows with links, as most have none
-    linked = sample.join(nodes.select("id", "m"), "id").withColumn("some", F.col("n") > F.col("m"))
-    order = F.xxhash64("id")
-    picked = linked.where("some").orderBy(order, "id").limit(rows // 2).collect() + linked.orderBy(order, "id").limit(rows).collect()
-    picked = list({r.id: r for r in picked}.values())
+    """Average share of the links of a row, its own copies left out, that were found.
+
+    The rows are drawn by a hash, whether or not links were found, and compared with all
+    others by brute force; those without a link say nothing.
+    """
+    drawn = hash_sample(nodes.select("id", "m", "v"), "id", rows, nodes.count())
+    picked = drawn.join(counts.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left").select("v", "m", F.coalesce("n", "m").alias("n")).collect()
     if not picked:
         return 1.0
     sent = nodes.sparkSession.sparkContext.broadcast(_unit(pd.Series([np.array(r.v) for r in picked])))
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(sent.value), np.int64)
         for pdf in batches:
             if len(pdf):
-                near = sent.value @ _unit(pdf["v"]).T >= threshold
-                yield pd.DataFrame({"i": np.arange(len(near)), "n": near @ pdf["m"].to_numpy()})
+                x, m = _unit(pdf["v"]).T, pdf["m"].to_numpy()
+                for at in range(0, len(total), 256):
+                    total[at : at + 256] += (sent.value[at : at + 256] @ x >= threshold) @ m
+        yield pd.DataFrame({"i": np.flatnonzero(total), "n": total[total > 0]})
 
     true = {r.i: r.n for r in nodes.select("m", "v").mapInPandas(brute, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    return sum(min(r.n, true[i]) for i, r in enumerate(picked)) / sum(true.values())
+    shares = [(r.n - r.m) / (true[i] - r.m) for i, r in enumerate(picked) if true.get(i, 0) > r.m]
+    return float(np.mean(shares)) if shares else 1.0

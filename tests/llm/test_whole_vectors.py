@@ -38,3 +38,11 @@ def clumps(rng, groups=20, size=30, dim=64):
 def test_clumps_with_links_across(spark, starts):
     x = clumps(np.random.default_rng(0))
     assert sorted(map(tuple, nn_descent.near_groups(rows(spark, x), starts=starts).collect())) == brute(x)
+
+
+def test_audit_sees_missed_pairs(spark):
+    x = np.random.default_rng(1).standard_normal((400, 64))
+    x[200:240] = x[:40] + 0.2 * np.random.default_rng(2).standard_normal((40, 64))
+    nodes = rows(spark, x).selectExpr("vec_id as id", "1L as m", "embedding as v")
+    found = spark.createDataFrame([(i, 2) for i in [*range(20), *range(200, 220)]], "id long, n long")
+    assert nn_descent._audit(nodes, found, 0.9, 4096) == pytest.approx(0.5)
