@@ -13,7 +13,7 @@ from leaguelens.llm import quality
 from leaguelens.llm.common import materialize, remainder, table
 from leaguelens.llm.mixing import mix_documents
 from leaguelens.llm.pii import mask_personal_data
-from leaguelens.llm.simhash import bits_for_similarity, simhash_components
+from leaguelens.llm.shingles import similar_components
 from leaguelens.llm.sp_encode import encode_documents
 
 
@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group: shingles of five words, similarity 0.8."""
-    groups = materialize(simhash_components(docs, 5, bits_for_similarity(0.8), parts=4, max_wide=bits_for_similarity(0.8, 256)), "pipeline-groups")
+    """The document of smallest id of each near-duplicate group: shingles of five words, Jaccard similarity 0.8 or more."""
+    groups = materialize(similar_components(docs, 5, 0.8), "pipeline-groups")
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     if kept.count() < groups.where("doc_id = component_id").count():
         docs = docs.dropDuplicates(["doc_id"])
