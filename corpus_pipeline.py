@@ -24,12 +24,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group: shingles of five words, Jaccard similarity 0.8 or more."""
+    """The document of smallest id of each near-duplicate group: shingles of five words, Jaccard similarity 0.8 or more.
+
+    A row with a null id takes part in no link and stays.
+    """
+    docs, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
     groups = materialize(similar_components(docs, 5, 0.8), "pipeline-groups")
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     if kept.count() < groups.where("doc_id = component_id").count():
         docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +42,17 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words; a fraction counts as a draw that follows from the id."""
+    """Each document as often as the mix takes its words; a fraction counts as a draw that follows from the id.
+
+    Rows with a null id share their average, and draw by their text.
+    """
     taken = mix_documents(docs.select("doc_id", "source", "text")).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("share"))
     taken = taken.groupBy("doc_id").agg(F.avg("share").alias("share"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
+    draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(17))).otherwise(F.xxhash64("doc_id", F.lit(17))), F.lit(1_000_000)) / 1_000_000.0
     copies = (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("long")).cast("int")
-    counted = taken.select("doc_id", copies.alias("copies")).where("copies > 0")
-    repeated = docs.join(counted, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = taken.select(F.col("doc_id").alias("taken_id"), "share")
+    counted = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copies", copies).where("copies > 0")
+    repeated = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(docs.columns)
 
 

@@ -31,3 +31,12 @@ def test_near_copies_by_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     got = {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()}
     assert got == set(label.tolist())
+
+
+def test_null_ids_stay(spark):
+    rows = [(None, f"nameless text number {i} of some words", "en", "web", 1) for i in range(3)] + [(i, f"text {i} " * 30, "en", "web", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    distinct = corpus_pipeline.keep_distinct(spark, docs, "")
+    assert sorted(r.text for r in distinct.where("doc_id is null").collect()) == [r[1] for r in rows[:3]]
+    # the mix takes all of a lone source
+    assert corpus_pipeline.mix_sources(spark, docs, "").where("doc_id is null").count() > 0
