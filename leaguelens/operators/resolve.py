@@ -1,11 +1,16 @@
 """Cross-source entity resolution.
 
 Exact and nickname matches are equi joins; only what they leave unmatched meets the
-registry in a similarity search, blocked by position.
+whole registry in a similarity search.
 """
 
 from __future__ import annotations
 
+import difflib
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from leaguelens.functions.text import ALLOWED_POSITIONS, first_last, normalize_p
 from leaguelens.operators.dedup import first_by, greedy_one_to_one, top_k
 
 THRESHOLDS = {"player": 0.97, "team": 0.995, "position": 1.0}
+#: Names of a block in the similarity search, and tasks that share a block.
+NAMES, SPLIT = 16_384, 16
 
 
 def match_positions(df: DataFrame, raw: str) -> DataFrame:
@@ -41,6 +48,50 @@ def match_teams(df: DataFrame, raw: str, teams: DataFrame, least: float = 0.90)
     return out.withColumn("team_confidence", F.coalesce("team_confidence", F.lit(0.0)))
 
 
+def _nearest(asked: DataFrame, reg: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` best players of every (__raw, __want) over the whole registry: with canonical_player_id, confidence.
+
+    Names meet in blocks.  Common characters bound the similarity from above, so each
+    name is compared in the order of that bound until no other can be among the best.
+    """
+    n, m = (max(1, -(-df.count() // NAMES)) for df in (asked, reg))
+    a = asked.withColumns({"i": F.pmod(F.xxhash64("__raw"), F.lit(n)), "j": F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    b = reg.withColumns({"j": F.pmod(F.xxhash64("__name"), F.lit(m)), "i": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
+    # several tasks share the names of a block
+    a = a.withColumn("k", F.pmod(F.xxhash64("__raw", F.lit(1)), F.lit(SPLIT))).select((((F.col("i") * m) + F.col("j")) * SPLIT + F.col("k")).alias("cell"), "__raw", "__want")
+    b = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))).select((((F.col("i") * m) + F.col("j")) * SPLIT + F.col("k")).alias("cell"), "__name", "__pos", "canonical_player_id")
+
+    def letters(names: pd.Series) -> np.ndarray:
+        out = np.zeros((len(names), 128), np.int16)
+        for row, name in zip(out, names):
+            np.add.at(row, np.frombuffer(name.encode("ascii", "replace"), np.uint8), 1)
+        return out
+
+    def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out, names, places, ids = [], y["__name"].to_numpy(), y["__pos"].to_numpy(), y["canonical_player_id"].to_numpy()
+        if len(x) and len(y):
+            have, length = letters(y["__name"]), y["__name"].str.len().to_numpy()
+            for raw, want, mine in zip(x["__raw"], x["__want"], letters(x["__raw"])):
+                used = np.flatnonzero(mine)
+                bonus = np.where(places == want, 0.02, 0.0)
+                most = np.minimum(1.0, 2.0 * np.minimum(have[:, used], mine[used]).sum(1, dtype=int) / (length + len(raw)) + bonus)
+                best: dict = {}
+                least = 0.0
+                for i in np.argsort(-most, kind="stable"):
+                    if most[i] <= 0 or most[i] < least:
+                        break
+                    got = min(1.0, difflib.SequenceMatcher(None, raw, names[i]).ratio() + bonus[i])
+                    if got > best.get(ids[i], 0.0):
+                        best[ids[i]] = got
+                        if len(best) >= keep:
+                            least = heapq.nlargest(keep, best.values())[-1]
+                out += [(raw, want, *r) for r in sorted(best.items(), key=lambda r: (-r[1], r[0]))[:keep]]
+        return pd.DataFrame(out, columns=["__raw", "__want", "canonical_player_id", "confidence"])
+
+    kind = dict(reg.dtypes)["canonical_player_id"]
+    return a.groupBy("cell").cogroup(b.groupBy("cell")).applyInPandas(solve, f"__raw string, __want string, canonical_player_id {kind}, confidence double")
+
+
 def match_players(records: DataFrame, players: DataFrame, key: str = "record_id", name: str = "raw_player_name", position: str = "position", keep: int = 5) -> DataFrame:
     """Ranked candidates (key, canonical_player_id, method, confidence, rank).
 
@@ -66,11 +117,10 @@ def match_players(records: DataFrame, players: DataFrame, key: str = "record_id"
 
     sure = exact.unionByName(nick)
     left = asked.join(sure.select(key).distinct(), key, "left_anti")
-    # blocked by initial of any word, so that the search stays an equi join
-    block = lambda c: F.array_distinct(F.transform(F.split(F.col(c), " "), lambda w: F.substring(w, 1, 1)))
-    a, b = left.withColumn("__b", F.explode(block("__raw"))), reg.withColumn("__b", F.explode(block("__name")))
-    near = a.join(b, "__b").drop("__b").distinct().withColumn("confidence", sequence_ratio(F.col("__raw"), F.col("__name")) + bonus)
-    near = near.where("confidence > 0").select(*cols, F.lit("fuzzy").alias("method"), F.lit(3).alias("__m"), F.least("confidence", F.lit(1.0)).alias("confidence"))
+    wanted = left.select("__raw", "__want").distinct()
+    # a null position equals none
+    found = _nearest(wanted.withColumn("__want", F.coalesce("__want", F.lit(""))), reg.withColumn("__pos", F.coalesce("__pos", F.lit("\0"))), keep)
+    near = left.withColumn("__want", F.coalesce("__want", F.lit(""))).join(found, ["__raw", "__want"]).select(*cols, F.lit("fuzzy").alias("method"), F.lit(3).alias("__m"), "confidence")
     best = first_by(sure.unionByName(near), [key, "canonical_player_id"], F.desc("confidence"), F.col("__m"))
     return top_k(best, [key], keep, F.desc("confidence"), F.col("__m"), F.col("canonical_player_id"), rank="rank").drop("__m")
 
