@@ -87,27 +87,34 @@ def gaussian_process(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float
     """Mean and deviation of a process on standardised data."""
     mu, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
     x, at, shift, scale = (x - mu) / sd, (at - mu) / sd, y.mean(), y.std() or 1.0
-    chol = np.linalg.cholesky(_kernel(x, x, length, matern) + noise * np.eye(len(x)))
-    alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, (y - shift) / scale))
-    cross = _kernel(at, x, length, matern)
-    inner = np.linalg.solve(chol, cross.T)
-    return cross @ alpha * scale + shift, np.sqrt(np.maximum(1 + noise - (inner**2).sum(0), 1e-9)) * scale
-
-
-def price_intervals(history: DataFrame, board: DataFrame, features: list[str], fit_rows: int = 1500) -> DataFrame:
+    # equal rows are one with their average and a share of the noise, which gives the same process
+    x, group, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    mean = np.bincount(group.ravel(), (y - shift) / scale) / n
+    chol = np.linalg.cholesky(_kernel(x, x, length, matern) + np.diag(noise / n))
+    alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, mean))
+    mid, dev = [], []
+    for k in range(0, len(at), 4096):
+        cross = _kernel(at[k : k + 4096], x, length, matern)
+        inner = np.linalg.solve(chol, cross.T)
+        mid.append(cross @ alpha * scale + shift)
+        dev.append(np.sqrt(np.maximum(1 + noise - (inner**2).sum(0), 1e-9)) * scale)
+    return np.concatenate([[], *mid]), np.concatenate([[], *dev])
+
+
+def price_intervals(history: DataFrame, board: DataFrame, features: list[str], fit_rows: int | None = None) -> DataFrame:
     """Low, median and high price of every row on the board, by position.
 
     Quarterbacks: a ridge fit with conformal residual quantiles for starters and the tail;
-    others a Gaussian process and 1.65 deviations.  A position's fit takes at most
-    ``fit_rows`` past rows, by hash; prices are whole and at least 1.
+    others a Gaussian process and 1.65 deviations.  A position's fit takes all
+    past rows, in the order of a hash, or the first ``fit_rows`` of them; prices are whole and at least 1.
     """
     w = Window.partitionBy("position").orderBy(F.xxhash64(*features, "price"))
-    sample = history.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= fit_rows).select("position", *features, "price", F.lit(True).alias("past"), F.lit(None).cast("string").alias("player_id"))
-    rows = sample.unionByName(board.select("position", *features, F.lit(None).cast("double").alias("price"), F.lit(False).alias("past"), "player_id"))
+    sample = history.withColumn("__r", F.row_number().over(w)).where(F.lit(True) if fit_rows is None else F.col("__r") <= fit_rows).select("__r", "position", *features, "price", F.lit(True).alias("past"), F.lit(None).cast("string").alias("player_id"))
+    rows = sample.unionByName(board.select(F.lit(0).alias("__r"), "position", *features, F.lit(None).cast("double").alias("price"), F.lit(False).alias("past"), "player_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         position = pdf["position"].iloc[0]
-        past, new = pdf[pdf["past"]], pdf[~pdf["past"]]
+        past, new = pdf[pdf["past"]].sort_values("__r"), pdf[~pdf["past"]]
         x, y, at = past[features].to_numpy(float), past["price"].to_numpy(float), new[features].to_numpy(float)
         if len(past) < 3:
             mid = np.full(len(new), y.mean() if len(y) else 1.0)

@@ -630,4 +630,4 @@ def price_intervals(spark, d):
     (p,) = _t(spark, d, "part")
     position = F.element_at(F.array(*map(F.lit, ("QB", "RB", "WR", "TE"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     rows = p.select(F.col("p_partkey").cast("string").alias("player_id"), position.alias("position"), F.col("p_size").cast("double").alias("rank"), F.col("p_retailprice").alias("price"))
-    return models.price_intervals(rows, rows, ["rank"], fit_rows=300)
+    return models.price_intervals(rows, rows, ["rank"])
