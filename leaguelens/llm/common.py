@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is chosen and remembered for the session.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on
+    one machine (tests) a temporary folder is chosen and remembered for the session.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("leaguelens.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="leaguelens-")
         spark.conf.set("leaguelens.shared.dir", found)
     return found
@@ -51,14 +53,28 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table written by ``materialize`` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Links of a node above which its label is broadcast instead of joined; nodes broadcast at most.
+HUB_LINKS, HUBS = 64, 50_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every node of an undirected edge list.
 
     ``edges`` has long columns ``u`` and ``v``.  Alternates the large-star and small-star
     steps until the edge set stops changing; every round is one aggregation and one
-    join, written to the shared folder, and no edge or label reaches the driver (only a
-    count and a checksum).  Returns ``node``, ``component_id``; nodes without an edge
-    are absent.  Self loops, repeated and null edges are ignored.  Raises if
+    join, written to the shared folder in place of the one before, and no edge or label
+    reaches the driver (only a count and a checksum).  Labels of hubs are broadcast, so
+    that no task joins all links of one: a hub has more than ``HUB_LINKS`` links, or as
+    many more as keep hubs to ``HUBS``.  Returns ``node``, ``component_id``; nodes without
+    an edge are absent.  Self loops, repeated and null edges are ignored.  Raises if
     ``max_rounds`` rounds do not converge.
     """
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
@@ -67,10 +83,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, links: int) -> DataFrame:
         both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else df
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        most = max(HUB_LINKS, 2 * links // HUBS)
+        hubs = low.where(F.col("n") > most).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+        marked = both.join(F.broadcast(hubs), F.col("u") == F.col("h"), "left")
+        met = marked.where("h is null").select("u", "v").join(low.where(F.col("n") <= most).select("u", "m"), "u").select("u", "v", "m")
+        joined = met.unionByName(marked.where("h is not null").select("u", "v", F.col("hm").alias("m")))
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -83,8 +103,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        cur = materialize(star(star(cur, True), False), "cc")
-        after = stamp(cur)
+        # the large star's links are written, as the small star reads them several times
+        wide = materialize(star(cur, True, before[0]), "cc")
+        new = materialize(star(wide, False, before[0]), "cc")
+        discard(cur)
+        discard(wide)
+        cur, after = new, stamp(new)
         if after == before:
             break
         before = after
