@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaguelens.llm.common import WORD, materialize
@@ -64,18 +64,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     )
 
 
-def draw_slots(sources: DataFrame, block_words: int, seed: int, shards: int = 1024, least_slots: int = 4096) -> DataFrame:
+def draw_slots(sources: DataFrame, block_words: int, seed: int, cap: float = 3.0, shards: int = 1024, least_slots: int = 4096) -> DataFrame:
     """Rows (sid, block): one for each slot of the mix.
 
     ``sources`` (sid, source_size, target) has one row per source; its counts per shard
-    are drawn in one small task, the slots themselves in many.
+    are drawn in one small task, the slots themselves in many.  A block has ``cap`` slots
+    at most.
     """
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values("sid")
         rows = rows[rows["source_size"] > 0]
         n = -(-rows["source_size"].to_numpy() // block_words)
-        owed = np.minimum(np.rint(rows["target"].to_numpy() * n / rows["source_size"].to_numpy()).astype(np.int64), 3 * n)
+        owed = np.minimum(np.rint(rows["target"].to_numpy() * n / rows["source_size"].to_numpy()).astype(np.int64), np.floor(cap * n).astype(np.int64))
         done, sid = np.zeros(len(n), np.int64), rows["sid"].to_numpy()
         each = max(least_slots, -(-int(owed.sum()) // shards))
         shard = 0
@@ -109,6 +110,39 @@ def draw_slots(sources: DataFrame, block_words: int, seed: int, shards: int = 10
     return drawn.repartition(tasks, F.col("shard"), F.col("sid")).mapInPandas(slots, "sid long, block long")
 
 
+def _drawn(base: DataFrame, weights: tuple[int, ...], cap: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``base`` (id, source, size, ...) with sid, source_size, target and place in their stream; their blocks with overlap and times drawn."""
+    extra = [c for c in base.columns if c not in ("id", "source", "size")]
+    chunks = max(1, math.isqrt(base.count()))
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)))
+    per_chunk = base.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
+    per_chunk = materialize(per_chunk, "mix-chunks")
+    sizes = per_chunk.groupBy("source").agg(F.sum("words").alias("source_size"))
+    sources = materialize(source_targets(sizes, weights, cap), "mix-sources")
+
+    ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    offsets = offsets.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    offsets = offsets.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "offset", "sid", "source_size", "target")
+    within = Window.partitionBy("sid", "chunk").orderBy("id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
+    placed = base.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
+    placed = placed.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+
+    b = F.lit(block_words)
+    first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
+    keep = ["id", "sid", "start", "size", "source_size", "target", *extra]
+    pieces = placed.where("size > 0").select(*keep, F.explode(F.sequence(first, last)).alias("block"))
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b)
+    times = draw_slots(sources.select("sid", "source_size", "target"), block_words, seed, cap).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    # the planner takes the slots for as small as the sources that they come from: no broadcast
+    drawn = pieces.withColumn("overlap", overlap).join(times.hint("merge"), ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return placed, drawn
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix_documents(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -128,32 +162,46 @@ def mix_documents(
     table gives an empty result; repeated rows count and return as often as they occur;
     a null source is a source of its own; other columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
-    chunks = max(1, math.isqrt(base.count()))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)))
-    per_chunk = base.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    per_chunk = materialize(per_chunk, "mix-chunks")
-    sizes = per_chunk.groupBy("source").agg(F.sum("words").alias("source_size"))
-    sources = materialize(source_targets(sizes, weights, cap), "mix-sources")
+    base = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size")), "mix-sizes")
+    placed, drawn = _drawn(base, weights, cap, block_words, seed)
+    taken = drawn.groupBy("id", "sid", "start", "size", "source_size", "target").agg(F.sum(F.col("overlap") * F.col("times")).cast("long").alias("taken"))
+    cols = [F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), "taken"]
+    return taken.select(*cols).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*cols))
 
-    ahead = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    offsets = offsets.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    offsets = offsets.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "offset", "sid", "source_size", "target")
-    within = Window.partitionBy("sid", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-    placed = placed.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
-    b = F.lit(block_words)
-    first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
-    keep = ["id", "sid", "start", "size", "source_size", "target"]
-    pieces = placed.where("size > 0").select(*keep, F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest("start", F.col("block") * b)
-    times = draw_slots(sources.select("sid", "source_size", "target"), block_words, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    # the planner takes the slots for as small as the sources that they come from: no broadcast
-    taken = pieces.withColumn("overlap", overlap).join(times.hint("merge"), ["sid", "block"], "left").groupBy(*keep).agg(
-        F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken")
+def mixed_texts(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    cap: int = 3,
+    block_words: int = 64,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: the words of the drawn blocks, by document.
+
+    A document comes as often as its most used block; its n-th row holds the words, in
+    their order, of the blocks used n times or more, and the whole text, as it is, where
+    these are all.  Texts without a word are in no block and go.  Rows that repeat an id
+    and text all take the blocks of the first of them; null ids and sources, repeats of an
+    id with other texts, and columns of any name stay as they are.
+    """
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), F.xxhash64(text_col).alias("hash")
     )
-    cols = [F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), "taken"]
-    return taken.select(*cols).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*cols))
+    base = materialize(packed.select("id", "source", "size", "hash"), "mix-sizes")
+    _, drawn = _drawn(base, weights, cap, block_words, seed)
+    # as many blocks as a document has
+    used = drawn.groupBy("id", "hash", "sid", "start").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("blocks"))
+    used = used.groupBy("id", "hash").agg(F.min_by(F.struct("start", F.transform("blocks", lambda b: b["times"]).alias("times")), F.struct("sid", "start")).alias("used"))
+    used = used.select(F.col("id").alias("i"), F.col("hash").alias("h"), "used.*").withColumn("most", F.array_max("times")).where("most > 0")
+    met = packed.select("doc", "id", "hash").join(used, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
+    met = met.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))))
+    text, space = F.col("doc")[text_col], r"[\x20\x09-\x0D]"
+    words = F.regexp_extract_all(text, F.lit(f"{space}*{WORD}"), F.lit(0))
+    place = lambda i: F.floor((F.col("start") + i) / block_words) - F.floor(F.col("start") / block_words) + 1
+    chosen = F.filter(words, lambda w, i: F.element_at("times", place(i).cast("int")) >= F.col("turn"))
+    part = F.regexp_replace(F.array_join(chosen, ""), f"^{space}+", "")
+    mixed = met.withColumn("mixed", F.when(F.array_min("times") >= F.col("turn"), text).otherwise(part))
+    return mixed.select(*[F.col("mixed" if c == text_col else f"doc.`{c}`").alias(c) for c in docs.columns])
