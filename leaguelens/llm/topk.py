@@ -1,14 +1,16 @@
 """Exact top-k inner products by a Voronoi join.
 
-Data and queries are grouped by their nearest pivot.  Summaries of the groups (radius, and
-the distances of the members closest to the pivot) bound each query group's k-th best
-score from below and each data group's scores from above; a data row is sent only to the
-query groups that it may serve.  Groups are cut into blocks of bounded size, solved
-locally, and the blocks' best rows are merged.
+Rows are grouped by their nearest pivot.  Every query first meets the rows of its own
+group, which gives it a k-th score to beat.  The summary of each other group (its radius
+around the pivot) bounds what the group can score against the query; the query is sent
+only to the groups that may beat its k-th score, and there only rows far enough from the
+pivot are scored.  Groups are cut into blocks of bounded size, solved locally, and the
+blocks' best rows are merged.  Rows move once, queries as often as they have groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from leaguelens.llm.common import hash_sample, materialize
 
-#: Most pivots; rows of a query block and of a data block.
-PIVOTS, QUERY_BLOCK, DATA_BLOCK = 64, 512, 8192
+#: Most pivots; queries and rows of a block.
+PIVOTS, QUERY_BLOCK, DATA_BLOCK = 1024, 4096, 8192
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -33,6 +35,16 @@ def _stack(series: pd.Series, dim: int) -> np.ndarray:
     return np.stack(series.to_numpy()) if len(series) else np.zeros((0, dim), np.int64)
 
 
+def best_rows(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id; ``ids`` ascend, and rows of id ``own`` don't count."""
+    other = np.flatnonzero(ids != own)
+    s = scores[other]
+    if len(s) > k:
+        other = other[s >= np.partition(s, len(s) - k)[len(s) - k]]
+        s = scores[other]
+    return other[np.argsort(-s, kind="stable")[:k]]
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS
 ) -> DataFrame:
@@ -53,8 +65,8 @@ def top_k(
         return spark.createDataFrame([], schema)
     dim, total = sizes[0].d, sizes[0]["count"]
     rows = rows.where(F.size("v") == dim)
-    # pivots: a bounded sample by hash
-    sample = hash_sample(rows, "id", min(pivots, max(1, total // 256)), total).collect()
+    # pivots: a sample by hash that grows with the root of the rows, so that groups and pivots do
+    sample = hash_sample(rows, "id", min(pivots, max(1, math.isqrt(total) // 4)), total).collect()
     centre = np.array([r.v for r in sample], float)
     sent = spark.sparkContext.broadcast(centre)
 
@@ -67,35 +79,51 @@ def top_k(
             yield pd.DataFrame({"id": pdf["id"], "v": list(x.astype("<i8")), "cell": cell, "far": d[np.arange(len(d)), cell]})
 
     placed = materialize(rows.mapInPandas(assign, "id long, v array<long>, cell int, far double"), "topk-cells")
-    queries = placed.where(is_query).groupBy("id").agg(F.min_by(F.struct("v", "cell", "far"), F.struct("cell", "far")).alias("s")).select("id", "s.*")
-    asked = queries.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
+    queries = placed.where(is_query).groupBy("id").agg(F.min_by(F.struct("v", "cell"), F.struct("cell", "v")).alias("s")).select("id", "s.*")
     held = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
-    close = Window.partitionBy("cell").orderBy("far", "id")
-    near = placed.select("cell", "far", "id").withColumn("r", F.row_number().over(close)).where(F.col("r") <= k + 1).select("cell", "far").collect()
-
-    # score of q (within a of pivot p) and v (within b of pivot c): p.c - slack <= q.v <= p.c + slack, slack = a|c| + b|p| + ab
-    norm, dot = np.sqrt((centre**2).sum(1)), centre @ centre.T
-    eps = 1e-6 * (1 + norm.max() ** 2)
-    needs = []
-    for q in asked:
-        low = sorted((dot[q.cell, r.cell] - (q.far * norm[r.cell] + r.far * norm[q.cell] + q.far * r.far) for r in near), reverse=True)
-        floor = low[k] - eps if len(low) > k else -np.inf
-        for c in held:
-            reach = floor - dot[q.cell, c.cell] - q.far * norm[c.cell]
-            # rows of c at least this far from their pivot may score above the floor
-            least = max(0.0, reach / (norm[q.cell] + q.far)) if norm[q.cell] + q.far > 0 else (0.0 if reach <= 0 else np.inf)
-            if np.isneginf(floor) or least <= c.far + eps:
-                least = 0.0 if np.isneginf(floor) else least - eps
-                needs.append((q.cell, c.cell, float(least), -(-q.n // QUERY_BLOCK), -(-c.n // DATA_BLOCK)))
-    # at most PIVOTS squared rows
-    plan = spark.createDataFrame(needs, "qcell int, dcell int, least double, qparts int, dparts int")
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    qs = queries.join(F.broadcast(plan), F.col("cell") == F.col("qcell")).select(
-        "qcell", "dcell", part("qparts").alias("qp"), F.explode(F.sequence(F.lit(0), F.col("dparts") - 1)).alias("dp"), "id", "v", F.lit(True).alias("q")
-    )
-    ds = placed.join(F.broadcast(plan), (F.col("cell") == F.col("dcell")) & (F.col("far") >= F.col("least"))).select(
-        "qcell", "dcell", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)).alias("qp"), part("dparts").alias("dp"), "id", "v", F.lit(False).alias("q")
-    )
+    # one number of each kind for every pivot
+    blocks, radius = np.zeros(len(centre), np.int64), np.full(len(centre), -1.0)
+    for r in held:
+        blocks[r.cell], radius[r.cell] = -(-r.n // DATA_BLOCK), r.far
+    norm = float(np.sqrt((centre**2).sum(1)).max()) + max(radius, default=0.0)
+    slack = 1e-6 * (1 + norm * norm)
+
+    def sent_to(qid: int, v: np.ndarray, cells: np.ndarray, least: np.ndarray) -> pd.DataFrame:
+        """A query once for every block of ``cells``."""
+        n = blocks[cells]
+        block = np.concatenate([np.arange(i) for i in n])
+        return pd.DataFrame({"cell": np.repeat(cells, n), "block": block, "id": qid, "v": pd.Series([v] * len(block), dtype=object), "least": np.repeat(least, n)})
+
+    def joined(frames: Iterator[pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+        """The frames, put together to some thousand rows."""
+        held, n = [], 0
+        for f in frames:
+            if f is not None:
+                held.append(f)
+                n += len(f)
+            if n >= 4096:
+                yield pd.concat(held)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query with the blocks of its own group."""
+        for pdf in batches:
+            yield from joined(sent_to(qid, v, np.array([cell]), np.zeros(1)) for qid, v, cell in zip(pdf["id"], pdf["v"], pdf["cell"]))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query with the blocks of other groups that may beat its k-th score: p.q + |q| far is the most at distance far from pivot p."""
+
+        def needed(qid: int, v: np.ndarray, cell: int, floor: float) -> pd.DataFrame | None:
+            q = np.asarray(v, float)
+            size = max(float(np.sqrt(q @ q)), 1e-9)
+            least = np.maximum(0.0, (floor - slack - sent.value @ q) / size)
+            need = np.flatnonzero((least <= radius) & (np.arange(len(radius)) != cell))
+            return sent_to(qid, v, need, least[need]) if len(need) else None
+
+        for pdf in batches:
+            yield from joined(map(needed, pdf["id"], pdf["v"], pdf["cell"], pdf["floor"]))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         q, d = pdf[pdf["q"]].sort_values("id"), pdf[~pdf["q"]].sort_values("id")
@@ -103,20 +131,34 @@ def top_k(
             return pd.DataFrame({"query_id": [], "vec": [], "score": []}).astype("int64")
         x, y = _stack(q["v"], dim), _stack(d["v"], dim)
         exact = dim * float(np.abs(x).max()) * float(np.abs(y).max()) < 2**53
-        scores = (x.astype(float) @ y.T.astype(float)).astype(np.int64) if exact else x @ y.T
-        ids, out = d["id"].to_numpy(), []
-        for qid, row in zip(q["id"].to_numpy(), scores):
-            other = np.flatnonzero(ids != qid)
-            s = row[other]
-            if len(s) > k:
-                cut = np.partition(s, len(s) - k)[len(s) - k]
-                other = other[s >= cut]
-                s = row[other]
-            best = np.argsort(-s, kind="stable")[:k]
-            out.append(pd.DataFrame({"query_id": qid, "vec": ids[other[best]], "score": s[best]}))
+        left, right = (x.astype(float), y.T.astype(float)) if exact else (x, y.T)
+        ids, far, out = d["id"].to_numpy(), d["far"].to_numpy(), []
+        for at in range(0, len(q), 256):
+            scores = left[at : at + 256] @ right
+            for qid, least, row in zip(q["id"].to_numpy()[at : at + 256], q["far"].to_numpy()[at : at + 256], scores):
+                near = far >= least
+                best = np.flatnonzero(near)[best_rows(ids[near], row[near], qid, k)]
+                out.append(pd.DataFrame({"query_id": qid, "vec": ids[best], "score": row[best].astype(np.int64)}))
         return pd.concat(out)
 
-    local = qs.unionByName(ds).groupBy("qcell", "dcell", "qp", "dp").applyInPandas(solve, "query_id long, vec long, score long")
+    parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
+    data = placed.select("cell", F.pmod(F.xxhash64("id", "v"), parts).cast("int").alias("block"), "id", "v", "far")
+    ask = "cell int, block int, id long, v array<long>, least double"
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """The best rows of every block for each query that comes to it."""
+        asked = materialize(asked, "topk-asked")
+        parts = asked.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+        dealt = data.join(parts, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        mine = asked.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        cols = ["cell", "block", "part", "id", "v", "far"]
+        both = mine.withColumnRenamed("least", "far").select(*cols, F.lit(True).alias("q")).unionByName(dealt.select(*cols, F.lit(False).alias("q")))
+        return both.groupBy("cell", "block", "part").applyInPandas(solve, "query_id long, vec long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
-    ranked = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = meet(queries.mapInPandas(own, ask)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = materialize(first.select("query_id", "vec", "score"), "topk-first")
+    floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
+    known = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "cell", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    ranked = first.unionByName(meet(known.mapInPandas(others, ask))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec").alias(id_col), "score")
