@@ -301,20 +301,31 @@ def covered(flags: list[int], window: int, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, d, t) with a new d: one number for each id and text, in the order of ids, null last, then text hashes."""
+    keyed = rows.withColumn("h", F.xxhash64("t"))
+    order = keyed.select("d", "h").distinct().orderBy(F.col("d").asc_nulls_last(), "h")
+    order = materialize(order.select(F.col("d").alias("k"), F.col("h").alias("kh"), F.monotonically_increasing_id().alias("n")), "repeats-order")
+    return keyed.join(order, F.col("d").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("id", F.col("n").alias("d"), "t")
+
+
 def remove_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, many: int = MANY, crowd: int = CROWD) -> DataFrame:
     """Remove each byte covered by a ``window``-byte string that also starts earlier.
 
     Earlier: in a smaller id, or at a smaller place of the same document; strings are
     judged on the input.  Returns id, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``keep_text``, kept (binary).  Null texts are empty; texts shorter than ``window``
-    keep all; rows that repeat an id are one document and return as often as they occur;
-    null ids stand last, as one document; an empty table gives an empty result; other
-    columns are ignored.
+    keep all.  Every distinct (id, text) is a document of its own: null ids stand last,
+    texts of one id in the order of their xxhash64, and rows that repeat both are one
+    document and return as often as they occur.  An empty table gives an empty result;
+    other columns are ignored.
     """
     if not GRAM < window <= 255:
         raise ValueError("window must be between the gram's length and 255")
-    spark, last = docs.sparkSession, (1 << 63) - 1
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("d"), F.col(text_col).alias("t"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    if not rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or d is null").isEmpty():
+        rows = _told_apart(rows)
     texts = rows.select("d", "t")
     compared = materialize(_compared(_anchored(texts, window, crowd), many), "repeats-contexts")
     release(spark)
