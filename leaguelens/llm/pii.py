@@ -244,15 +244,20 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by its kind in angle brackets; overlapping spans count as one."""
-    found = candidates(docs, text_col)
+    """``docs`` with every span in ``text_col`` replaced by its kind in angle brackets; overlapping spans count as one.
+
+    Null texts stay null and empty ones empty; rows and other columns, of any name, stay
+    as they are; an empty table gives an empty result.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).alias("text"))
+    # written once, with its spans: the model is fitted on them and then decides on them
+    found = materialize(candidates(packed).drop("text"), "pii-spans")
     model = fit(found)
 
     def marks(k: str) -> Column:
         return F.transform(model.spans(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k}>").alias("mark")))
 
-    every = F.array_sort(F.concat(*map(marks, KINDS)))
-    text = F.col(text_col)
+    text = F.col("doc")[text_col]
 
     def step(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["pos"]
@@ -260,7 +265,7 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(inside, acc["out"]).otherwise(more).alias("out"))
 
     first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    masked = F.aggregate(F.col("pii_all"), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    marked = found.withColumn("pii_all", every)
-    marked = marked.withColumn(text_col, F.when(F.size("pii_all") > 0, masked).otherwise(text))
-    return marked.select(docs.columns)
+    masked = F.aggregate(F.col("every"), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    marked = found.select("doc", F.array_sort(F.concat(*map(marks, KINDS))).alias("every"))
+    marked = marked.select("doc", F.when(F.size("every") > 0, masked).otherwise(text).alias("masked"))
+    return marked.select(*[F.col("masked" if c == text_col else f"doc.`{c}`").alias(c) for c in docs.columns])
