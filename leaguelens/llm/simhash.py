@@ -10,7 +10,6 @@ so its output is linear in its rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -29,40 +28,35 @@ BUCKET_ROWS = 512
 N_PIVOTS = 32
 
 
-def fingerprint(text: str | None, shingle_words: int, seed: int = 42, parts: int = 1) -> np.ndarray:
+def fingerprint(text: str | None, shingle_words: int, seed: int = 42) -> int:
     """Majority bits over the XXH64 of word shingles, repeats included; no words: 0.
 
-    Fewer words than a shingle make one shingle of all of them.  ``parts`` above 1 appends
-    further 64-bit fingerprints, from other hashes that follow from the first.
+    Fewer words than a shingle make one shingle of all of them.
     """
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(parts, np.uint64)
+        return 0
     k = min(shingle_words, len(words))
     digest, n = partial(xxhash.xxh64_intdigest, seed=seed), len(words) - k + 1
-    ones = np.zeros((parts, 64), np.int64)
+    ones = np.zeros(64, np.int64)
     for at in range(0, n, 100_000):
         part = words[at : min(at + 100_000, n) + k - 1]
         hashes = np.fromiter(map(digest, map(b" ".join, zip(*(part[i:] for i in range(k))))), "<u8")
-        for p in range(parts):
-            if p:
-                hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            ones[p] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 5, seed: int = 42, parts: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp, wide): fp is the 64-bit fingerprint as a signed long, wide the further parts."""
+def fingerprints(docs: DataFrame, shingle_words: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, fp): the 64-bit fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([fingerprint(t, shingle_words, seed, parts) for t in pdf["t"]], np.uint64).reshape(-1, parts)
-            yield pd.DataFrame({"id": pdf["id"], "fp": fps[:, 0].astype(np.int64), "wide": [r.tobytes() for r in fps[:, 1:]]})
+            yield pd.DataFrame({"id": pdf["id"], "fp": np.array([fingerprint(t, shingle_words, seed) for t in pdf["t"]], np.uint64).astype(np.int64)})
 
     # ids travel as text, as pandas would turn longs with nulls into floats
-    found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id string, fp long, wide binary")
+    found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, "id string, fp long")
     return found.withColumn("id", F.col("id").cast("long"))
 
 
@@ -88,18 +82,15 @@ def block_masks(rows: int, max_bits: int) -> list[int]:
     return masks
 
 
-def link_cells(cell: np.ndarray, fp: np.ndarray, max_bits: int, wide: np.ndarray | None = None, max_wide: int = 0) -> np.ndarray:
+def link_cells(cell: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     """Label of each row: the smallest row number linked to it within its cell.
 
     Rows of a cell are taken in the order of their distance to the first reference, so a
-    row meets only those within ``max_bits`` of it; the other references follow.  With
-    ``wide``, a link also needs at most ``max_wide`` differing bits over all parts.
+    row meets only those within ``max_bits`` of it; the other references follow.
     """
     table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], cell))
     cell, fp, table = cell[order], fp[order], table[order]
-    if wide is not None:
-        wide = np.concatenate([fp[:, None], wide[order]], 1)
     label, live, shift = np.arange(len(fp)), np.arange(len(fp)), 0
     while len(live):
         shift += 1
@@ -111,8 +102,6 @@ def link_cells(cell: np.ndarray, fp: np.ndarray, max_bits: int, wide: np.ndarray
                 break
             i = i[np.abs(table[i + shift, p] - table[i, p]) <= max_bits]
         i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= max_bits]
-        if wide is not None and len(i):
-            i = i[np.bitwise_count(wide[i] ^ wide[i + shift]).sum(1, dtype=int) <= max_wide]
         j = i + shift
         while len(i):
             a, b = label[i], label[j]
@@ -127,15 +116,15 @@ def link_cells(cell: np.ndarray, fp: np.ndarray, max_bits: int, wide: np.ndarray
     return out
 
 
-def fingerprint_links(classes: DataFrame, max_bits: int, max_wide: int = 0) -> DataFrame:
+def fingerprint_links(classes: DataFrame, max_bits: int) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints within ``max_bits`` of each other.
 
-    ``classes`` has one row (fp, wide, rep) per distinct fingerprint.
+    ``classes`` has one row (fp, rep) per distinct fingerprint.
     """
     masks = block_masks(classes.count(), max_bits)
     # a mask as a signed long
     keys = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for k, m in enumerate(masks)]
-    rows = classes.where("rep is not null").select("fp", "wide", "rep", F.explode(F.array(*keys)).alias("key")).select("fp", "wide", "rep", "key.*")
+    rows = classes.where("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("key")).select("fp", "rep", "key.*")
     large = rows.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     rows = rows.join(large, ["kind", "bits"]).withColumn("parts", F.ceil(F.col("n") / FRAGMENT_ROWS).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -155,39 +144,31 @@ def fingerprint_links(classes: DataFrame, max_bits: int, max_wide: int = 0) -> D
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rep = pdf["rep"].to_numpy()
-        wide = np.frombuffer(b"".join(pdf["wide"]), "<u8").reshape(len(pdf), -1) if max_wide else None
-        label = link_cells(pdf["cell"].to_numpy(), pdf["fp"].to_numpy().astype(np.uint64), max_bits, wide, max_wide)
+        label = link_cells(pdf["cell"].to_numpy(), pdf["fp"].to_numpy().astype(np.uint64), max_bits)
         linked = label != np.arange(len(label))
         return pd.DataFrame({"u": rep[linked], "v": rep[label[linked]]})
 
-    dealt = rows.select(cell.alias("cell"), "fp", "wide", "rep").repartition(F.col("cell")).sortWithinPartitions("cell")
+    dealt = rows.select(cell.alias("cell"), "fp", "rep").repartition(F.col("cell")).sortWithinPartitions("cell")
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def bits_for_similarity(similarity: float, bits: int = 64) -> int:
-    """Expected differing bits of texts whose shingle sets have this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def simhash_components(
-    docs: DataFrame, shingle_words: int = 5, max_bits: int = 4, seed: int = 42, parts: int = 1, max_wide: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle_words: int = 5, max_bits: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Fingerprint and near-duplicate group of every document.
 
     Returns id, fingerprint (16 lower-case hex digits) and component_id, the smallest id
-    reachable over links of at most ``max_bits`` differing bits.  For loose thresholds,
-    where unrelated texts come within ``max_bits`` by chance, ``parts`` above 1 makes links
-    need at most ``max_wide`` differing bits over all parts as well.  Null and empty texts
+    reachable over links of at most ``max_bits`` differing bits.  Null and empty texts
     have fingerprint zero and link like any other; repeated rows return as often as they
     occur; a null id takes part in no link; an empty table gives an empty result; other
     columns are ignored.
     """
-    fps = materialize(fingerprints(docs, shingle_words, seed, parts, id_col, text_col), "simhash")
-    classes = materialize(fps.groupBy("fp", "wide").agg(F.min("id").alias("rep")), "simhash-classes")
-    parts = connected_components(fingerprint_links(classes, max_bits, max_wide))
+    fps = materialize(fingerprints(docs, shingle_words, seed, id_col, text_col), "simhash")
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+    parts = connected_components(fingerprint_links(classes, max_bits))
     named = classes.join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select("fp", "wide", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(named, ["fp", "wide"]).select(
+    named = named.select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return fps.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),

@@ -49,7 +49,7 @@ def test_null_and_large_ids(spark):
     cond = F.col("doc_id") > 0
     for out in (
         encode_documents(df), mixing.mix_documents(df), simhash.simhash_components(df), repeats.remove_repeats(df), pii.find_personal_data(df),
-        lm_score.score_documents(df, cond, fit_tokens=100),
+        lm_score.score_documents(df, cond, fit_share=1.0),
     ):
         assert sorted(r.doc_id or 0 for r in out.collect()) == [0, big, big + 1]
     packed = [k for r in packing.pack_documents(df, 64).collect() for k in r.doc_ids]
@@ -149,6 +149,28 @@ def test_mix(docs, nothing):
     assert mixing.mix_documents(nothing).count() == 0
 
 
+def test_mix_uses_its_cap(spark):
+    docs = spark.createDataFrame([(i, "w " * 640, "a" if i == 0 else "b") for i in range(12)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_documents(docs, weights=(50, 1), cap=5).collect()}
+    assert got[0].target == 3200 and got[0].taken == 3200
+
+
+def test_mixed_texts_hold_the_taken_words(docs):
+    taken = mixing.mix_documents(docs, block_words=8).groupBy("doc_id").agg(F.max("taken").alias("n"), F.count("*").alias("rows")).collect()
+    mixed = defaultdict(list)
+    out = mixing.mixed_texts(docs, block_words=8)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        mixed[r.doc_id].append(r.text)
+        words = WORD.findall(TEXTS[r.doc_id] or "")
+        # its words, in their order
+        at = iter(words)
+        assert words and all(any(w == x for x in at) for w in WORD.findall(r.text))
+    for r in taken:
+        if r.rows == 1:
+            assert sum(len(WORD.findall(t)) for t in mixed[r.doc_id]) == r.n
+
+
 def test_permutation():
     for n in (1, 2, 7, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 12345)) == list(range(n))
@@ -240,8 +262,62 @@ def test_near_vectors(spark):
     assert nn_descent.near_groups(df.where("vec_id in (70, 71)")).count() == 2
 
 
+def test_top_k_of_repeated_queries(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = np.floor(256 * x).astype(int)
+    want = sorted((-int(q[0] @ q[j]), j) for j in range(1, 600))[:5]
+    for pivots in (1, 3, 64):
+        got = topk.top_k(df, F.col("id") == 0, pivots=pivots).collect()
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n, j, -s) for n, (s, j) in enumerate(want, 1)]
+
+
 # ---- op6
 
+def brute_repeats(rows, window):
+    """Removed bytes by (id, text) of rows in their order."""
+    seen, out = set(), {}
+    for key in rows:
+        raw = (key[1] or "").encode()
+        hit = np.zeros(len(raw), bool)
+        for k in range(len(raw) - window + 1):
+            if raw[k : k + window] in seen:
+                hit[k : k + window] = True
+            seen.add(raw[k : k + window])
+        out[key] = int(hit.sum())
+    return out
+
+
+def test_repeats_of_null_and_reused_ids(spark):
+    rng = np.random.default_rng(9)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, d), (3, c), (3, "x" + d), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    ordered = [(r.doc_id, r.text) for r in df.dropDuplicates().orderBy(F.col("doc_id").asc_nulls_last(), "h").collect()]
+    want = brute_repeats(ordered, 100)
+    got = repeats.remove_repeats(df.drop("h"), keep_text=True).collect()
+    assert len(got) == len(rows)
+    sizes = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got)
+    assert sizes == sorted((i or 0, len(t), want[i, t]) for i, t in rows)
+
+
+def test_repeats_in_long_texts(spark):
+    rng = np.random.default_rng(10)
+    part = rng.integers(97, 123, 700).astype(np.uint8).tobytes().decode()
+    filler = rng.integers(97, 123, 2_300_000).astype(np.uint8).tobytes().decode()
+    # repeats on both sides of the place where a long text is cut
+    long = filler[: repeats.BATCH - 300] + part + filler[repeats.BATCH - 300 :]
+    line = "the same line of words that stands in very many documents of this corpus, " * 2
+    many = [(i, f"{rng.integers(10**9)} {line}{rng.integers(10**9)}") for i in range(2, 300)]
+    rows = [(0, long), (1, "z" + part), *many, (400, filler[-5000:])]
+    want = brute_repeats(rows, 100)
+    for crowd in (64, 8):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowd=crowd).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {i: n for (i, _), n in want.items()}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(500):
@@ -349,7 +425,7 @@ def test_language_model(docs, nothing, spark):
             counts.update([*(r.text or "").encode().lower().split(), b""])
     n, v = sum(counts.values()), len(counts)
     cond = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    got = lm_score.score_documents(docs, cond, fit_tokens=3000, head=30, vocabulary=20).collect()
+    got = lm_score.score_documents(docs, cond, fit_share=1.0, head=30, vocabulary=20).collect()
     assert len(got) == len(TEXTS) + 1
     for r in got:
         w = [*(TEXTS[r.doc_id] or "").encode().lower().split(), b""]
@@ -384,6 +460,41 @@ def test_gated_model_is_a_distribution_and_its_gradient_holds():
     assert abs((m.log_probs(up, y)[0].sum() - m.log_probs(hs, y)[0].sum()) / 1e-6 - dh[1, 2]) < 1e-4
 
 
+def test_gradient_through_time_holds():
+    rng = np.random.default_rng(1)
+    m = lm_score.GatedModel(np.arange(10, 0, -1).astype(float), hidden=4, class_words=4)
+    m.p = {k: v.astype(float) + rng.normal(size=v.shape) * 0.4 * (v > -1e8) for k, v in m.p.items()}
+    x, y = rng.integers(0, 11, (6, 3)), rng.integers(0, 10, (6, 3))
+    first, h = rng.random((6, 3)) < 0.2, rng.normal(size=(3, 4))
+    grads, _, _ = m.gradients(x, y, first, h)
+    for name, value in m.p.items():
+        for flat in rng.choice(value.size, min(value.size, 25), replace=False):
+            at = np.unravel_index(flat, value.shape)
+            old, f = value[at], []
+            for e in (1e-5, -1e-5):
+                value[at] = old + e
+                f.append(m.gradients(x, y, first, h)[2])
+            value[at] = old
+            assert abs((f[0] - f[1]) / 2e-5 - grads[name][at]) < 1e-5, (name, at)
+
+
+def test_training_in_many_copies_agrees_and_learns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    order = {f"w{i}": f"w{(i * 7 + 3) % 50}" for i in range(50)}
+    rows = []
+    for i in range(600):
+        w = [f"w{rng.integers(50)}"]
+        for _ in range(60):
+            w.append(order[w[-1]] if rng.random() < 0.8 else f"w{rng.integers(50)}")
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm_score.fit_model, "__defaults__", (1.0, 4, 8000))
+    runs = [{r.doc_id: r for r in lm_score.score_documents(df, F.col("doc_id") % 10 != 0, fit_share=1.0).collect()} for _ in range(2)]
+    assert all(abs(runs[0][i].score - runs[1][i].score) < 1e-6 for i in runs[0])
+    held = [r for r in runs[0].values() if r.doc_id % 10 == 0]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
 def test_lockstep_scores_equal_single_ones():
     rng = np.random.default_rng(0)
     m = lm_score.GatedModel(np.arange(50, 0, -1).astype(float), hidden=6, class_words=8)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -39,4 +40,23 @@ def test_null_ids_stay(spark):
     distinct = corpus_pipeline.keep_distinct(spark, docs, "")
     assert sorted(r.text for r in distinct.where("doc_id is null").collect()) == [r[1] for r in rows[:3]]
     # the mix takes all of a lone source
-    assert corpus_pipeline.mix_sources(spark, docs, "").where("doc_id is null").count() > 0
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert sum(r.doc_id is None for r in mixed) >= 1
+    assert sum(len(r.text.split()) for r in mixed) == sum(len(r[1].split()) for r in rows)
+
+
+def test_reused_ids_and_repeated_rows(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    rows = [(1, texts[0], "en", "web", 1), (1, texts[1], "en", "web", 2), (2, texts[1], "en", "web", 3), (3, texts[2], "en", "web", 4), (3, texts[2], "en", "web", 4)]
+    got = corpus_pipeline.keep_distinct(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, texts[0]), (1, texts[1]), (3, texts[2])]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = ["score", "copies", "copy", "pii_email", "pii_all", "id", "node", "text_hash", "doc", "masked", "mixed", "turn", "times", "start"]
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert out.where(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0 and out.count() > 0, name
