@@ -11,53 +11,66 @@ from pyspark.sql import functions as F
 
 from leaguelens.llm import quality
 from leaguelens.llm.common import materialize, remainder, table
-from leaguelens.llm.mixing import mix_documents
+from leaguelens.llm.mixing import mixed_texts
 from leaguelens.llm.pii import mask_personal_data
 from leaguelens.llm.shingles import similar_components
 from leaguelens.llm.sp_encode import encode_documents
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, as they are.
+
+    Null and empty texts get the score of the model's bias; null ids and repeated rows
+    are judged by their text like any other; own columns of any name stay.
+    """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return quality.score_documents(docs, model).where(F.col("score") >= 0.3).select(docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return quality.score_documents(packed, model).where(F.col("score") >= 0.3).select("doc.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group: shingles of five words, Jaccard similarity 0.8 or more.
+    """One document of each near-duplicate group: shingles of five words, Jaccard similarity 0.8 or more.
 
-    A row with a null id takes part in no link and stays.
+    The row of smallest id stays (of an id with several texts, that of the smallest text
+    hash; of equal ids and texts, that of the smallest hash of all columns).  A row with a
+    null id takes part in no link and stays; null and empty texts are one group.
     """
-    docs, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    nameless = docs.where("doc_id is null")
     groups = materialize(similar_components(docs, 5, 0.8), "pipeline-groups")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    if kept.count() < groups.where("doc_id = component_id").count():
-        docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(nameless)
+    leads = groups.where("leads").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    leads = materialize(leads, "pipeline-leads")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    single = packed.join(leads.where("n = 1"), ["doc_id", "text_hash"], "left_semi")
+    repeated = packed.join(leads.where("n > 1"), ["doc_id", "text_hash"], "left_semi")
+    one = repeated.groupBy("doc_id", "text_hash").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return single.select("doc.*").unionByName(one.select("doc.*")).unionByName(nameless)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, if they have it, following the text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
-    return mask_personal_data(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, personal data replaced by its kind; n_chars follows the text.
+
+    Null texts stay null, null ids and repeated rows stay as often as they occur.
+    """
+    return _counted(mask_personal_data(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words; a fraction counts as a draw that follows from the id.
+    """The drawn blocks of the mix, by document, as often as they are drawn; n_chars follows the text.
 
-    Rows with a null id share their average, and draw by their text.
+    Texts without a word are in no block and go; rows with a null id are mixed like any other.
     """
-    taken = mix_documents(docs.select("doc_id", "source", "text")).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("share"))
-    taken = taken.groupBy("doc_id").agg(F.avg("share").alias("share"))
-    draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(17))).otherwise(F.xxhash64("doc_id", F.lit(17))), F.lit(1_000_000)) / 1_000_000.0
-    copies = (F.floor("share") + (draw < F.col("share") - F.floor("share")).cast("long")).cast("int")
-    taken = taken.select(F.col("doc_id").alias("taken_id"), "share")
-    counted = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copies", copies).where("copies > 0")
-    repeated = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(docs.columns)
+    return _counted(mixed_texts(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and digests of every document of the mix."""
+    """Ids and digests of every row of the mix: one row for each, null ids included."""
     return encode_documents(docs, full=False)
 
 
