@@ -93,4 +93,46 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    # every byte of every text, as two hex digits
+    "op6_repeats": """
+        WITH t AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), w AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) AS n
+            FROM (SELECT doc_id, h, unnest(range(CAST(greatest(length(h) // 2 - 99, 0) AS BIGINT))) AS i FROM t)
+        ), marked AS (
+            SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM w WHERE n > 1
+        ), numbered AS (
+            SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+        ), spans AS (
+            SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM numbered GROUP BY doc_id, run
+        ), gaps AS (
+            SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans
+        ), cut AS (
+            SELECT g.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept, sum(hi - lo) AS removed, count(*) AS n, max(hi) AS last
+            FROM gaps g JOIN t ON g.doc_id = t.doc_id GROUP BY g.doc_id
+        )
+        SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(CASE WHEN cut.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+        FROM t LEFT JOIN cut ON t.doc_id = cut.doc_id
+    """,
+    "op9_near_vectors": """
+        WITH RECURSIVE bad AS (
+            SELECT DISTINCT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x IS NULL OR isnan(x) OR isinf(x)
+        ), v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM bad)
+        ), n AS (
+            SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9
+        ), reach AS (
+            SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+        ), parts AS (
+            SELECT u, min(v) AS component_id FROM reach GROUP BY u
+        ), counts AS (
+            SELECT u, count(*) AS n_links FROM links GROUP BY u
+        )
+        SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN parts ON vec_id = parts.u LEFT JOIN counts ON vec_id = counts.u
+    """,
 }
