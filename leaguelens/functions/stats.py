@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +56,13 @@ def p_available(adp: Column, position: Column, rank: Column, pick: Column, beta:
     width = cdf(F.lit(float(last))) - cdf(F.lit(1.0))
     p = F.when(width < 1e-12, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cdf(F.lit(float(last))) - cdf(pick)) / width)))
     return F.when(pick <= 0, 1.0).when(pick > last, 0.0).otherwise(p)
+
+
+def exact_round(x: Column, digits: int) -> Column:
+    """Round the binary value itself, ties to even, as 2.675 to 2.67; for the plain half-up rule use ``F.round``."""
+
+    @F.pandas_udf("double")
+    def rounded(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: v if pd.isna(v) else round(v, digits))
+
+    return rounded(x.cast("double"))

@@ -135,3 +135,55 @@ def position_order(position: Column) -> Column:
     for i, p in enumerate(POSITION_ORDER[1:], 2):
         out = out.when(position == p, i)
     return out.otherwise(99)
+
+
+# Code, city, nickname, other names of each team.
+TEAM_NAMES = (
+    ("ARI", "Arizona", "Cardinals", "ARZ", "CRD"),
+    ("ATL", "Atlanta", "Falcons", "FAL"),
+    ("BAL", "Baltimore", "Ravens", "RAV"),
+    ("BUF", "Buffalo", "Bills", "BIL"),
+    ("CAR", "Carolina", "Panthers"),
+    ("CHI", "Chicago", "Bears"),
+    ("CIN", "Cincinnati", "Bengals"),
+    ("CLE", "Cleveland", "Browns"),
+    ("DAL", "Dallas", "Cowboys"),
+    ("DEN", "Denver", "Broncos"),
+    ("DET", "Detroit", "Lions"),
+    ("GB", "Green Bay", "Packers", "GNB"),
+    ("HOU", "Houston", "Texans", "HTX"),
+    ("IND", "Indianapolis", "Colts", "CLT"),
+    ("JAX", "Jacksonville", "Jaguars"),
+    ("KC", "Kansas City", "Chiefs", "KAN"),
+    ("LAC", "Los Angeles", "Chargers", "SDG", "LA Chargers", "San Diego"),
+    ("LAR", "Los Angeles", "Rams", "RAM", "LA Rams", "St. Louis"),
+    ("LV", "Las Vegas", "Raiders", "RAI", "Oakland"),
+    ("MIA", "Miami", "Dolphins"),
+    ("MIN", "Minnesota", "Vikings"),
+    ("NE", "New England", "Patriots", "NWE"),
+    ("NO", "New Orleans", "Saints", "NOR"),
+    ("NYG", "New York", "Giants", "NY Giants"),
+    ("NYJ", "New York", "Jets", "NY Jets"),
+    ("PHI", "Philadelphia", "Eagles"),
+    ("PIT", "Pittsburgh", "Steelers"),
+    ("SEA", "Seattle", "Seahawks"),
+    ("SF", "San Francisco", "49ers", "SFO"),
+    ("TB", "Tampa Bay", "Buccaneers", "TAM"),
+    ("TEN", "Tennessee", "Titans", "OTI"),
+    ("WAS", "Washington", "Commanders", "Washington Football Team"),
+)
+
+
+def team_spellings() -> dict[str, str]:
+    """Every spelling of a team, in lower case, with its code; a city of two teams is none."""
+    cities = [t[1] for t in TEAM_NAMES]
+    out = {}
+    for code, city, nickname, *others in TEAM_NAMES:
+        names = [code, nickname, f"{city} {nickname}", *others] + [city] * (cities.count(city) == 1)
+        out |= {n.lower(): code for n in names}
+    return out
+
+
+def team_code_of_name(team: Column) -> Column:
+    """The code of a team by any of its spellings; other text stays."""
+    return F.coalesce(_lookup(F.lower(F.trim(team)), team_spellings()), team)

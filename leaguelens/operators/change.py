@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 META = ("ingestion_date", "end_date", "is_current")
 
 
-def bootstrap(src: DataFrame, on: Column) -> DataFrame:
-    """First version of a table: every row current."""
-    return src.withColumns({"ingestion_date": on.cast("date"), "end_date": F.lit(None).cast("date"), "is_current": F.lit(True)})
+#: The end of a row that holds.
+OPEN_END = "9999-12-31"
+
+
+def bootstrap(src: DataFrame, on: Column, open_end: str | None = OPEN_END) -> DataFrame:
+    """First version of a table: every row current, up to ``open_end`` (None: no date)."""
+    return src.withColumns({"ingestion_date": on.cast("date"), "end_date": F.lit(open_end).cast("date"), "is_current": F.lit(True)})
 
 
 def classify(current: DataFrame, src: DataFrame, keys: list[str], tracked: list[str]) -> DataFrame:
@@ -27,7 +31,7 @@ def classify(current: DataFrame, src: DataFrame, keys: list[str], tracked: list[
     return a.join(b, keys, "full_outer").select(*keys, kind.alias("class"))
 
 
-def scd2_merge(target: DataFrame, src: DataFrame, keys: list[str], on: Column, tracked: list[str] | None = None) -> DataFrame:
+def scd2_merge(target: DataFrame, src: DataFrame, keys: list[str], on: Column, tracked: list[str] | None = None, open_end: str | None = OPEN_END) -> DataFrame:
     """Next version of a dimension table.
 
     Changed current rows end on ``on``, their new versions and new keys open; history
@@ -40,7 +44,7 @@ def scd2_merge(target: DataFrame, src: DataFrame, keys: list[str], on: Column, t
     flagged = current.join(classes, keys, "left")
     hit = F.col("class") == "changed"
     kept = flagged.withColumns({"end_date": F.when(hit, on.cast("date")).otherwise(F.col("end_date")), "is_current": ~F.coalesce(hit, F.lit(False))})
-    opened = bootstrap(src.join(classes.where("class in ('changed', 'new')").select(*keys), keys, "left_semi").select(*body), on)
+    opened = bootstrap(src.join(classes.where("class in ('changed', 'new')").select(*keys), keys, "left_semi").select(*body), on, open_end)
     columns = target.columns
     return target.where("not is_current").unionByName(kept.select(*columns)).unionByName(opened.select(*columns))
 

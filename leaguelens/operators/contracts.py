@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leaguelens.functions.casts import lenient
@@ -48,6 +48,26 @@ CONTRACTS = {
 }
 
 
+#: Contracts that only one sport has, or that differ there.
+SPORT_CONTRACTS: dict[str, dict[str, Contract]] = {
+    "nfl": {c: CONTRACTS[c] for c in ("roster_entries", "player_stats_weekly", "standings", "matchups")},
+    "nba": {
+        "standings": Contract("standings", CONTRACTS["standings"].types | {"games_back": "double"}, ("ties", "games_back"), ("league_key", "season", "team_key")),
+        "player_stats_weekly": CONTRACTS["player_stats_weekly"],
+    },
+}
+
+
+def get_contract(entity: str, sport: str | None = None) -> Contract:
+    """The sport's contract of an entity, else the common one."""
+    scoped = SPORT_CONTRACTS.get(sport or "", {})
+    if entity in scoped:
+        return scoped[entity]
+    if entity in CONTRACTS:
+        return CONTRACTS[entity]
+    raise KeyError(f"Unknown entity '{entity}'")
+
+
 def empty(spark: SparkSession, contract: Contract) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in contract.types.items()))
 
@@ -92,3 +112,44 @@ def validated(df: DataFrame, contract: Contract, keep_extra: bool = False, allow
     if problems:
         raise ContractError("; ".join(problems))
     return out
+
+
+def check_record(record: dict, contract: Contract, allow_extra: bool = True) -> None:
+    """Raise on the first kind of problem of one record: missing fields, nulls in required ones, unexpected fields."""
+    missing = [c for c in contract.required if c not in record]
+    nulls = [c for c in contract.required if record.get(c) is None]
+    extra = [] if allow_extra else sorted(set(record) - set(contract.types))
+    for what, names in (("missing required fields", missing), ("required fields cannot be null", nulls), ("unexpected fields", extra)):
+        if names:
+            raise ContractError(f"{contract.name}: {what}: {', '.join(names)}")
+
+
+def row_problems(df: DataFrame, contract: Contract, order: list[str]) -> DataFrame:
+    """Rows that break the contract, each with its ``row`` (from 0, in ``order``) and ``problem``.
+
+    A row is named for the null fields of the required ones, else for null key fields, else
+    as a repeat of an earlier row with its key.  Rows are numbered by range partitions and
+    their sizes, so no task holds the whole table; ``order`` should be unique.
+    """
+    def nulls(names: tuple[str, ...]) -> Column:
+        found = [F.when(F.col(c).isNull(), F.lit(c)) for c in names if c in df.columns]
+        return F.nullif(F.concat_ws(", ", *found), F.lit("")) if found else F.lit(None).cast("string")
+
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    sizes = ordered.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    first = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = ordered.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(first.drop("__n")), "__part")
+    numbered = numbered.withColumn("row", F.col("__first") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    repeat = F.lit(False)
+    if contract.key and set(contract.key) <= set(df.columns):
+        repeat = F.row_number().over(Window.partitionBy(*contract.key).orderBy("row")) > 1
+    required, key = nulls(contract.required), nulls(contract.key)
+    problem = F.when(required.isNotNull(), F.concat(F.lit("null: "), required)).when(key.isNotNull(), F.concat(F.lit("null key: "), key)).when(repeat, F.lit("duplicate key"))
+    return numbered.withColumn("problem", problem).where("problem is not null").select("row", "problem", *df.columns)
+
+
+def check_in_order(df: DataFrame, contract: Contract, order: list[str]) -> None:
+    """Raise on the first row, in ``order``, that breaks the contract."""
+    worst = row_problems(df, contract, order).orderBy("row").select("row", "problem").first()
+    if worst:
+        raise ContractError(f"{contract.name}: row {worst['row']}: {worst['problem']}")

@@ -200,3 +200,51 @@ def map_by_id_then_name(source: DataFrame, target: DataFrame, id_col: str, targe
     shape = lambda df, i: df.select(i, normalize_player_name(F.col("name")).alias("n"), normalize_position(F.col("position")).alias("p"))
     named = shape(rest, id_col).join(shape(target, target_id), ["n", "p"]).select(id_col, target_id, F.lit("name_position").alias("method"), F.lit(2).alias("priority"))
     return first_by(direct.unionByName(named), [id_col], F.col("priority"), F.col(target_id))
+
+
+OPEN_STATUS = ("new", "in_review")
+
+
+def split_queue(queue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The open rows of a review queue and its history; a null status is history."""
+    is_open = F.coalesce(F.col("queue_status").isin(*OPEN_STATUS), F.lit(False))
+    ident = ["queue_id", "source_system", "source_entity_id", "queue_status"]
+    have = lambda c: F.col(c) if c in queue.columns else F.lit(None).cast("string").alias(c)
+    opened = queue.where(is_open).select(*ident, have("priority"), have("created_at"), have("assigned_to"))
+    blank = lambda c: F.coalesce(have(c), F.lit("")).alias(c)
+    closed = queue.where(~is_open).select(*ident, have("created_at"), blank("resolved_at"), blank("resolution_action"), have("resolved_by"), have("review_notes"))
+    return opened, closed
+
+
+def rescued(records: DataFrame, needed: tuple[str, ...] = ("source_system", "source_entity_id", "raw_player_name"), at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records that can be matched, and those set aside with the reason: blank or missing needed fields."""
+    blank = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) if c in records.columns else F.lit(c) for c in needed]
+    marked = records.withColumn("__why", F.concat_ws(", ", *blank))
+    body = F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"})
+    aside = marked.where("__why <> ''").select(
+        F.sha2(body, 256).alias("rescue_id"), F.concat(F.lit("missing: "), F.col("__why")).alias("reason"), body.alias("payload"), (at if at is not None else F.current_timestamp()).alias("rescued_at")
+    )
+    return marked.where("__why = ''").drop("__why"), aside
+
+
+def standardize_batch(
+    records: DataFrame, players: DataFrame, teams: DataFrame, source_map: DataFrame, overrides: DataFrame, queue: DataFrame | None = None, at: Column | None = None, thresholds: dict[str, float] | None = None
+) -> dict[str, DataFrame]:
+    """All tables of one run, by name: registry, map, queue (open, history), rescued, outputs, overrides and counts.
+
+    ``queue`` holds earlier reviews: a row that was closed stays closed, others are replaced.
+    """
+    at = at if at is not None else F.current_timestamp()
+    good, aside = rescued(records, at=at)
+    out = standardize(good, players, teams, source_map, overrides, thresholds)
+    fresh = review_queue(out, at).withColumnRenamed("status", "queue_status").withColumn("priority", F.lit("normal"))
+    if queue is not None:
+        done = queue.where(~F.coalesce(F.col("queue_status").isin(*OPEN_STATUS), F.lit(False)))
+        fresh = done.unionByName(fresh.join(done.select("queue_id"), "queue_id", "left_anti"), allowMissingColumns=True)
+    opened, closed = split_queue(fresh)
+    counts = out.groupBy("source_system", "match_method").agg(F.count(F.lit(1)).alias("records"), F.count_if("needs_review").alias("to_review"))
+    positions = players.select(normalize_position(F.col("primary_position")).alias("canonical_position_code")).distinct()
+    return {
+        "std_canonical_players": players, "std_canonical_teams": teams, "std_canonical_positions": positions, "std_source_to_canonical_map": learned_mappings(out, source_map),
+        "std_match_queue": fresh, "std_match_queue_open": opened, "std_match_queue_history": closed, "std_rescued_records": aside, "std_standardized_outputs": out, "std_match_summary": counts,
+    }

@@ -73,7 +73,8 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     import re
 
     words = set(re.findall(r"\w+", text))
-    args, out = {}, text
+    # tables are parameters in braces, so other braces are doubled
+    args, out = {}, text.replace("{", "{{").replace("}", "}}")
     for t in TABLES:
         if t in words:
             args[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -82,7 +83,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
             args[n] = frame(spark, sf_dir, n)
     for n in args:
         out = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}} {n}" if not re.search(rf"\b(?:FROM|JOIN)\s+{n}\s+(?!JOIN|WHERE|GROUP|ORDER|ON|CROSS|LEFT|INNER|UNION|USING|LIMIT)\w", out) else rf"\1 {{{n}}}", out)
-    return spark.sql(out, **args)
+    return spark.sql(out, **args) if args else spark.sql(text)
 
 
 def oracle(body: str, *names: str) -> str:

@@ -23,12 +23,20 @@ def snake_case(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text under snake-case names, the file's name in ``source_file``."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False, mode="PERMISSIVE")
-    return snake_case(raw.withColumn("source file", F.col("_metadata.file_name")))
+    # names come percent-encoded
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return snake_case(raw.withColumn("source file", name))
 
 
 def scoring_format(file_name: str) -> Column:
+    """Half PPR, Standard, or else PPR, by the file's name."""
     name = F.lower(F.col(file_name))
-    return F.when(name.contains("half"), "half_ppr").when(name.contains("ppr"), "ppr").when(name.contains("standard") | name.contains("std"), "standard")
+    return F.when(name.contains("half_ppr") | name.contains("half-ppr"), "Half PPR").when(name.contains("standard"), "Standard").otherwise("PPR")
+
+
+def dashed_format(file_name: str) -> Column:
+    """What stands after a dash at the end of a csv file's name, as in ``Rankings - Full PPR.csv``; null without one."""
+    return F.nullif(F.trim(F.regexp_extract(file_name, r"(?i)[\u2013\u2014-]\s*(.+?)\s*\.csv$", 1)), F.lit(""))
 
 
 def read_rankings(spark: SparkSession, path: str, known: tuple[str, ...] = ("rank", "player", "team", "position", "pos", "bye", "adp", "consensus_rank", "source_file")) -> DataFrame:
@@ -36,7 +44,7 @@ def read_rankings(spark: SparkSession, path: str, known: tuple[str, ...] = ("ran
     df = read_csv(spark, path)
     rankers = [c for c in df.columns if c not in known]
     df = df.where("trim(player) <> ''").withColumns({c: safe_float(F.col(c)) for c in rankers})
-    return df.withColumns({"rank_stddev": row_stddev(*[F.col(c) for c in rankers]) if rankers else F.lit(None).cast("double"), "scoring_format": scoring_format("source_file")})
+    return df.withColumns({"rank_stddev": F.round(row_stddev(*[F.col(c) for c in rankers]), 2) if rankers else F.lit(None).cast("double"), "scoring_format": scoring_format("source_file")})
 
 
 def read_adp(spark: SparkSession, path: str) -> DataFrame:
@@ -62,3 +70,32 @@ def read_auction_values(spark: SparkSession, path: str) -> DataFrame:
     )
     names = {"player_name_normalized": normalize_name(F.col("player_name_raw")), "position_normalized": normalize_position(F.col("position_raw"))}
     return out.withColumns(names).withColumn("source_row_hash", row_hash("season", "pick_number", "auction_price", "team_raw", "player_name_raw", "position_raw"))
+
+
+def read_fantasy_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A ranked sheet with prices in dollars and a 0/1 flag; rows without a name go."""
+    df = read_csv(spark, path)
+    dollar = next((c for c in df.columns if c in ("price", "value", "auction", "")), None)
+    if dollar is None:
+        # the price column may be headed by a dollar sign alone, which leaves no name
+        raw = spark.read.csv(path, header=True, encoding="UTF-8")
+        signs = [c for c in raw.columns if c.lstrip("\ufeff").strip().startswith("$")]
+        df = snake_case(raw.withColumnsRenamed({c: "price" for c in signs[:1]}))
+        dollar = "price" if signs else None
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+    whole = lambda c: safe_int(F.col(c)) if c in df.columns else F.lit(None).cast("bigint")
+    flag = F.coalesce(text("exodia") == "1", F.lit(False))
+    out = df.select(
+        text("name").alias("player"), F.upper(text("position")).alias("position"), F.upper(text("team")).alias("team"), whole("bye").alias("bye"), whole("overall").alias("overall_rank"),
+        (safe_int(F.regexp_replace(F.col(dollar), r"^\s*\$", "")) if dollar else F.lit(None).cast("bigint")).alias("auction_value"), flag.alias("exodia"), F.lit("Redraft PPR").alias("scoring_format"),
+    )
+    return out.where("player <> ''")
+
+
+def read_many(spark: SparkSession, paths: dict[str, dict[str, object]]) -> DataFrame:
+    """Several sheets as one, each with its own literal columns; columns that a sheet lacks are null."""
+    frames = [read_csv(spark, path).withColumns({k: F.lit(v) for k, v in literals.items()}) for path, literals in paths.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

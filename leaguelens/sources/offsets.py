@@ -2,7 +2,7 @@
 
 Options: ``path`` (folder with one ``season=<n>.json`` file of rows per season) and
 ``seasons`` (comma separated, optional).  The first read takes all seasons, later ones the
-latest; the offset says so.
+latest again, whose rows may have been corrected; the offset says so and counts the reads.
 """
 
 from __future__ import annotations
@@ -55,17 +55,18 @@ class _Stream(SimpleDataSourceStreamReader):
         self.options = dict(options)
 
     def initialOffset(self) -> dict:
-        return {"initial_load_complete": False, "latest_season": 0}
+        return {"initial_load_complete": False, "latest_season": 0, "reads": 0}
 
     def read(self, start: dict):
         seasons = _seasons(self.options)
         if start["initial_load_complete"]:
-            # the latest season again only when a newer one has come
-            seasons = [s for s in seasons if s > start["latest_season"]]
+            # the latest season once more, and any that came since
+            seasons = [s for s in seasons if s >= max(start["latest_season"], max(seasons))] if seasons else []
         rows = [r for s in seasons for r in _load(self.options["path"], s)]
         latest = max([start["latest_season"], *seasons])
-        return iter(rows), {"initial_load_complete": True, "latest_season": latest}
+        return iter(rows), {"initial_load_complete": True, "latest_season": latest, "reads": start["reads"] + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        low = start["latest_season"] if start["initial_load_complete"] else -1
-        return iter([r for s in _seasons(self.options) if low < s <= end["latest_season"] for r in _load(self.options["path"], s)])
+        found = _seasons(self.options)
+        seasons = [s for s in found if s <= end["latest_season"]] if not start["initial_load_complete"] else [s for s in found if s == end["latest_season"]]
+        return iter([r for s in seasons for r in _load(self.options["path"], s)])

@@ -136,3 +136,72 @@ def canonical_registry(players: DataFrame, ids: DataFrame, schedules: DataFrame,
     long = ids.where("gsis_id is not null").select("gsis_id", *[F.col(c).cast("string").alias(c) for c in others]).unpivot(["gsis_id"], others, "source", "source_entity_id")
     out["source_map"] = long.where("trim(source_entity_id) <> ''").select(F.regexp_replace("source", "_id$", "").alias("source_system"), "source_entity_id", F.col("gsis_id").alias("canonical_player_id"), F.lit("registry").alias("provenance")).distinct()
     return out
+
+
+_LEAGUE_FIELDS = ("season", "name", "game_code", "scoring_type", "league_type", "num_teams", "start_week", "end_week", "current_week")
+
+
+def league_metadata(payloads: DataFrame, key: str = "league_key", column: str = "payload") -> DataFrame:
+    """One row per league: of every field the first value in document order; ids come from the key.
+
+    Text fields take the first text; numbers the first that is there, a season of 0 or
+    nothing counts as none.
+    """
+    import json
+
+    import pandas as pd
+
+    from leaguelens.sources.pages import walk
+
+    def first(payload: str | None, name: str) -> str | None:
+        for item in walk(json.loads(payload)) if payload else ():
+            v = item.get(name)
+            if name in ("name", "game_code", "scoring_type", "league_type"):
+                if isinstance(v, str) and v:
+                    return v
+            elif v is not None and (name != "season" or str(v).strip() not in ("", "0")):
+                return str(v)
+        return None
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([[k, *[first(p, n) for n in _LEAGUE_FIELDS]] for k, p in zip(pdf["k"], pdf["p"])], columns=["league_key", *_LEAGUE_FIELDS])
+
+    found = payloads.select(F.col(key).alias("k"), F.col(column).alias("p")).mapInPandas(run, "league_key string, " + ", ".join(f"{n} string" for n in _LEAGUE_FIELDS))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    number = lambda n: safe_int(F.col(n)).alias(n)
+    return found.select(
+        "league_key", F.coalesce(F.try_element_at(F.split("league_key", r"\.l\."), F.lit(2)), F.lit("")).alias("league_id"), safe_int(F.element_at(F.split("league_key", r"\."), 1)).alias("game_id"),
+        F.lower(text(F.col("game_code"))).alias("game_code"), F.coalesce(safe_int(F.col("season")), F.lit(0)).alias("season"), text(F.col("name")).alias("league_name"),
+        text(F.col("scoring_type")).alias("scoring_type"), text(F.col("league_type")).alias("league_type"), *[number(n) for n in _LEAGUE_FIELDS[5:]],
+    )
+
+
+def team_entries(entries: DataFrame, league: str = "league_key", column: str = "payload") -> DataFrame:
+    """Teams of payloads that hold one team's list of single-field objects each.
+
+    The id follows ``.t.`` in the key, else 0; the owner is the nickname of the first
+    manager; entries without a key go.
+    """
+    kind = "array<struct<team_key:string,name:string,draft_position:string,managers:array<struct<manager:struct<nickname:string>>>>>"
+    parts = F.from_json(F.col(column), kind)
+    one = lambda f: F.try_element_at(F.filter(F.transform(parts, f), lambda x: x.isNotNull() & (x != "")), F.lit(1))
+    key = one(lambda p: p["team_key"])
+    out = entries.select(
+        key.alias("team_key"), F.col(league).alias("league_key"), F.coalesce(safe_int(F.try_element_at(F.split(key, r"\.t\."), F.lit(2))), F.lit(0)).alias("team_id"),
+        F.coalesce(one(lambda p: p["name"]), F.lit("")).alias("team_name"), F.coalesce(one(lambda p: F.try_element_at(p["managers"], F.lit(1))["manager"]["nickname"]), F.lit("")).alias("owner_name"),
+        safe_int(one(lambda p: p["draft_position"])).alias("draft_position"),
+    )
+    return out.where("team_key is not null")
+
+
+def auth_code(raw: str) -> str:
+    """The code in a pasted address, query or bare text."""
+    from urllib.parse import parse_qs, urlparse
+
+    text = (raw or "").strip()
+    if text.startswith(("http://", "https://")):
+        return parse_qs(urlparse(text).query).get("code", [""])[0].strip()
+    if "code=" in text:
+        return parse_qs(text.lstrip("?")).get("code", [""])[0].strip()
+    return text.split("&state=", 1)[0].strip()

@@ -11,7 +11,8 @@ def test_scd2(spark):
     second = spark.createDataFrame([("a", "z"), ("c", None)], "id string, name string")
     t2 = change.scd2_merge(t1, second, ["id"], F.lit("2024-02-01"))
     rows = {(r.id, r.name, str(r.end_date), r.is_current) for r in t2.collect()}
-    assert rows == {("a", "x", "2024-02-01", False), ("a", "z", "None", True), ("b", "y", "None", True), ("c", None, "None", True)}
+    assert rows == {("a", "x", "2024-02-01", False), ("a", "z", "9999-12-31", True), ("b", "y", "9999-12-31", True), ("c", None, "9999-12-31", True)}
+    assert change.bootstrap(first, F.lit("2024-01-01"), None).where("end_date is null").count() == 2
     t3 = change.scd2_merge(t2, second, ["id"], F.lit("2024-03-01"))
     assert sorted(map(str, t3.collect())) == sorted(map(str, t2.collect()))
 

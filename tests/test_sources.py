@@ -17,7 +17,7 @@ def test_adp_and_rankings(spark, tmp_path):
     b = tmp_path / "half_ppr_rankings.csv"
     b.write_text("Rank,Player,Position,Ann,Bob\n1,One,WR,1,3\n2, ,WR,1,1\n")
     r = files.read_rankings(spark, str(b)).collect()
-    assert len(r) == 1 and r[0].rank_stddev == 1.0 and r[0].scoring_format == "half_ppr"
+    assert len(r) == 1 and r[0].rank_stddev == 1.0 and r[0].scoring_format == "Half PPR"
     c = tmp_path / "auction.csv"
     c.write_text("histi,Pick,Salary,Team,Player,Position,Dollar_Rank,Pos_Dollar_Rank\n2024,1,$60,MIN,JUSTIN JEFFERSON,WR,1,1\n")
     r = files.read_auction_values(spark, str(c)).first()
