@@ -19,37 +19,58 @@ from leaguelens.functions.stats import p_available
 FEATURES = 7
 
 
-def fit_availability(picks: DataFrame, rounds: int = 60, rate: float = 0.05, last: int = 216) -> tuple[list[float], list[float]]:
-    """Location and log-scale coefficients by maximum likelihood.
+def fit_availability(picks: DataFrame, rounds: int = 500, last: int = 216) -> tuple[list[float], list[float]]:
+    """Location and log-scale coefficients of pick minus adp, a logistic law, by maximum likelihood.
 
-    ``picks`` (adp, position, rank, pick).  Each round is one aggregation that returns the
-    gradient; the table itself is never collected.
+    ``picks`` (adp, position, rank, pick); rows with a null number take no part, and a null
+    position is none of the named ones.  Quasi-Newton steps (BFGS): each evaluation is one
+    aggregation that returns the likelihood and its gradient, so the table is never
+    collected.  Raises if ``rounds`` steps don't reach the optimum; an empty table gives the start.
     """
-    x = [F.lit(1.0), F.col("adp") / last, F.log(F.greatest("adp", F.lit(1.0))) / math.log(last), F.col("rank") / 50.0, *[(F.col("position") == p).cast("double") for p in ("QB", "RB", "TE")]]
-    data = picks.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], (F.col("pick") - F.col("adp")).cast("double").alias("y"), (1 - F.col("adp")).alias("lo"), (last - F.col("adp")).alias("hi"))
-    beta, gamma = np.zeros(FEATURES), np.zeros(FEATURES)
-    gamma[0] = 2.0
-    m, v = np.zeros(2 * FEATURES), np.zeros(2 * FEATURES)
-    sig = lambda z: 1 / (1 + F.exp(-z))
-    for t in range(1, rounds + 1):
-        lin = lambda c: sum((F.col(f"x{i}") * float(w) for i, w in enumerate(c)), F.lit(0.0))  # noqa: B023, E731
-        d = data.withColumns({"mu": lin(beta), "s": F.exp(lin(gamma))})
-        z, a, b = ((F.col(c) - F.col("mu")) / F.col("s") for c in ("y", "lo", "hi"))
-        fa, fb = sig(a), sig(b)
-        width = F.greatest(fb - fa, F.lit(1e-12))
-        # log density: z - 2 log(1 + e^z) - log s - log(F(b) - F(a))
-        dz = 1 - 2 * sig(z)
-        ga, gb = fa * (1 - fa), fb * (1 - fb)
-        d_mu = (-dz + (gb - ga) / width) / F.col("s")
-        d_ls = -z * dz - 1 + (gb * b - ga * a) / width
-        row = d.agg(F.count(F.lit(1)), *[F.sum(F.col(f"x{i}") * g) for g in (d_mu, d_ls) for i in range(FEATURES)]).first()
-        if not row[0]:
-            break
-        grad = np.array([float(r or 0.0) for r in row[1:]]) / row[0]
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        beta, gamma = beta + step[:FEATURES], gamma + step[FEATURES:]
-    return beta.tolist(), gamma.tolist()
+    positions = [F.coalesce((F.col("position") == p).cast("double"), F.lit(0.0)) for p in ("QB", "RB", "TE")]
+    x = [F.lit(1.0), F.col("adp") / last, F.log(F.greatest("adp", F.lit(1.0))) / math.log(last), F.col("rank") / 50.0, *positions]
+    known = picks.select("position", *[F.col(c).cast("double").alias(c) for c in ("adp", "rank", "pick")]).dropna(subset=["adp", "rank", "pick"])
+    data = known.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], (F.col("pick") - F.col("adp")).alias("y")).persist()
+
+    def mean_loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        mu, log_s = (sum((F.col(f"x{i}") * float(w) for i, w in enumerate(c)), F.lit(0.0)) for c in (at[:FEATURES], at[FEATURES:]))
+        d = data.withColumns({"log_s": log_s, "z": (F.col("y") - mu) / F.exp(log_s)})
+        z, slope = F.col("z"), F.tanh(F.col("z") / 2)
+        loss = F.col("log_s") + F.abs(z) + 2 * F.log1p(F.exp(-F.abs(z)))
+        sides = (-slope / F.exp("log_s"), 1 - z * slope)
+        row = d.agg(F.avg(loss), *[F.avg(F.col(f"x{i}") * g) for g in sides for i in range(FEATURES)]).first()
+        return (math.nan, np.zeros(2 * FEATURES)) if row[0] is None else (row[0], np.array(row[1:], float))
+
+    at = np.zeros(2 * FEATURES)
+    at[FEATURES] = math.log(4.5)
+    try:
+        loss, grad = mean_loss(at)
+        curve, done = np.eye(len(at)) / max(1.0, float(np.linalg.norm(grad))), math.isnan(loss)
+        for _ in range(rounds):
+            done = done or float(np.abs(grad).max()) < 1e-5
+            if done:
+                break
+            step = -curve @ grad
+            slope, size = float(grad @ step), 1.0
+            while True:
+                new_loss, new_grad = mean_loss(at + size * step)
+                if new_loss <= loss + 1e-4 * size * slope or size < 1e-8:
+                    break
+                size /= 2
+            if not new_loss < loss:
+                done = -slope < 1e-6 * max(1.0, abs(loss))  # what the step could gain is rounding
+                break
+            moved, turned = size * step, new_grad - grad
+            if moved @ turned > 1e-12:
+                rho, one = 1 / (moved @ turned), np.eye(len(at))
+                curve = (one - rho * np.outer(moved, turned)) @ curve @ (one - rho * np.outer(turned, moved)) + rho * np.outer(moved, moved)
+            done = loss - new_loss < 1e-10 * max(1.0, abs(loss))
+            at, loss, grad = at + moved, new_loss, new_grad
+    finally:
+        data.unpersist()
+    if not done and float(np.abs(grad).max()) >= 1e-5:
+        raise RuntimeError(f"no optimum after {rounds} steps")
+    return at[:FEATURES].tolist(), at[FEATURES:].tolist()
 
 
 def split_by_hash(df: DataFrame, group: str, key: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,20 @@ def test_availability_fit(spark):
     adp = rng.integers(20, 180, 800)
     rows = [(float(a), "RB", float(a) / 4, float(np.clip(round(a + 6 + rng.logistic(0, 8)), 1, 216))) for a in adp]
     df = spark.createDataFrame(rows, "adp double, position string, rank double, pick double")
-    beta, gamma = models.fit_availability(df, rounds=40)
+    beta, gamma = models.fit_availability(df)
+
+    def loss(w):
+        x = np.array([[1.0, r[0] / 216, np.log(r[0]) / np.log(216), r[2] / 50, 0.0, 1.0, 0.0] for r in rows])
+        z = (np.array([r[3] - r[0] for r in rows]) - x @ w[:7]) * np.exp(-x @ w[7:])
+        return float(np.mean(x @ w[7:] + z + 2 * np.log1p(np.exp(-z))))
+
+    best = np.array(beta + gamma)
+    assert loss(best) < loss(np.array([6.0] + [0.0] * 6 + [np.log(8)] + [0.0] * 6))  # the law the rows were drawn from
+    slopes = [(loss(best + d) - loss(best - d)) / 2e-4 for d in np.eye(14) * 1e-4]
+    assert np.abs(slopes).max() < 1e-3
+    with_nulls = df.unionByName(spark.createDataFrame([(None, "RB", 1.0, 2.0), (3.0, None, None, 2.0)], df.schema))
+    np.testing.assert_allclose(np.concatenate(models.fit_availability(with_nulls)), best, atol=1e-2)
+    assert models.fit_availability(df.where("false")) == ([0.0] * 7, [float(np.log(4.5))] + [0.0] * 6)
     board = df.withColumn("target", F.col("adp") + 5).withColumn("available", F.col("pick") > F.col("target"))
     start = models.availability_scores(board, [0.0] * 7, [2.0] + [0.0] * 6)
     assert models.availability_scores(board, beta, gamma)["log_loss"] < start["log_loss"]
