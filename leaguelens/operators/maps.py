@@ -94,27 +94,24 @@ def resolve_history(raw: DataFrame, players: DataFrame, resolved: float = 0.97,
     asked = rows.select(key, "__n", "__p", "__c", F.col("player_name_raw").alias("__raw"))
     same = F.col("__p") == F.col("kp")
 
-    def found(df: DataFrame, method: str, confidence: Column) -> DataFrame:
-        out = df.withColumn("__conf", confidence)
-        return first_by(out, [key], F.desc("__conf"), F.desc("player_key")).select(key, "player_key", "full_name", "display_position", F.lit(method).alias("method"), F.col("__conf").alias("confidence"))
-
-    def left(done: DataFrame) -> DataFrame:
-        return asked.join(done.select(key), key, "left_anti")
+    def found(df: DataFrame, method: str, step: int, confidence: float) -> DataFrame:
+        return df.select(key, "player_key", "full_name", "display_position", F.lit(method).alias("method"), F.lit(confidence).alias("confidence"), F.lit(step).alias("step"))
 
     exact = asked.join(pool, same & (F.col("__n") == F.col("kn"))).unionByName(asked.join(pool, same & (F.col("__c") == F.col("kc")) & (F.col("__n") != F.col("kn"))))
-    done = found(exact, "exact", F.lit(1.0))
-    defence = left(done).where("__p = 'DST'")
-    done = done.unionByName(found(defence.join(pool, same & (normalize_team_code(F.col("__raw")) == F.col("kt"))), "dst_team_code", F.lit(0.99)))
-    phrase = left(done).where("__p = 'DST' and __n <> ''").join(pool, same).where((F.col("kn") == F.col("__n")) | F.startswith("kn", F.concat(F.col("__n"), F.lit(" "))))
+    defence = asked.where("__p = 'DST'")
+    coded = defence.join(pool, same & (normalize_team_code(F.col("__raw")) == F.col("kt")))
+    phrase = defence.where("__n <> ''").join(pool, same).where((F.col("kn") == F.col("__n")) | F.startswith("kn", F.concat(F.col("__n"), F.lit(" "))))
     sole = phrase.groupBy(key).agg(F.count_distinct("kn").alias("c")).where("c = 1").select(key)
-    done = done.unionByName(found(phrase.join(sole, key, "left_semi"), "dst_team_phrase", F.lit(0.985)))
     unique = pool.groupBy("kl", "kp").agg(F.count_distinct("kn").alias("c")).where("c = 1 and kl <> ''").select("kl", "kp")
-    ends = left(done).withColumns({"__f": first_last(F.col("__n"))["first"], "__l": first_last(F.col("__n"))["last"]})
+    ends = asked.withColumns({"__f": first_last(F.col("__n"))["first"], "__l": first_last(F.col("__n"))["last"]})
     nick = ends.join(pool.join(unique, ["kl", "kp"], "left_semi"), same & (F.col("__l") == F.col("kl"))).where(same_prefix(F.col("__f"), F.col("kf")))
-    done = done.unionByName(found(nick, "nickname_heuristic", F.lit(0.985)))
-    near = left(done).where("__n <> ''").join(pool, same)
+    # the keyed steps are one union, of which the earliest step of a row counts
+    steps = found(exact, "exact", 0, 1.0).unionByName(found(coded, "dst_team_code", 1, 0.99)).unionByName(found(phrase.join(sole, key, "left_semi"), "dst_team_phrase", 2, 0.985)).unionByName(found(nick, "nickname_heuristic", 3, 0.985))
+    keyed = first_by(steps, [key], F.col("step"), F.desc("player_key")).drop("step")
+    near = asked.join(keyed.select(key), key, "left_anti").where("__n <> ''").join(pool, same)
     score = F.greatest(sequence_ratio(F.col("__n"), F.col("kn")), sequence_ratio(F.col("__c"), F.col("kc"))) + 0.02
-    done = done.unionByName(found(near, "fuzzy", score))
+    fuzzy = first_by(near.withColumn("__conf", score), [key], F.desc("__conf"), F.desc("player_key"))
+    done = keyed.unionByName(fuzzy.select(key, "player_key", "full_name", "display_position", F.lit("fuzzy").alias("method"), F.col("__conf").alias("confidence")))
     status = F.when(F.col("confidence") >= resolved, "resolved").when(F.col("confidence") >= ambiguous, "ambiguous").otherwise("unresolved")
     out = raw.join(done, key, "left").withColumn("resolution_status", F.coalesce(status, F.lit("unresolved")))
     return out.withColumns({"resolution_confidence": F.round(F.coalesce("confidence", F.lit(0.0)), 4), "resolution_method": F.coalesce("method", F.lit("none"))}).withColumnsRenamed(

@@ -1,4 +1,4 @@
-"""A versioned table store on plain Parquet: each write is a new version, made current at once."""
+"""A versioned table store on plain Parquet: each write is a new version, made current at once; appends write new rows only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leaguelens.functions.hashing import frame_digest
 from leaguelens.operators.change import bootstrap, classify, scd2_counts, scd2_merge, upsert
@@ -19,6 +20,11 @@ class WriteResult:
     written: int
 
 
+def _whole(parts: list[tuple[int, bool, str]]) -> int:
+    """Index of the last folder that holds a whole version."""
+    return max(i for i, (_, adds, _) in enumerate(parts) if not adds)
+
+
 class TableStore:
     """Tables under ``root``; reading and writing data goes through Spark, version names through its file system."""
 
@@ -28,13 +34,17 @@ class TableStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self, table: str) -> list[int]:
+    def _parts(self, table: str) -> list[tuple[int, bool, str]]:
+        """Committed folders of a table in order: version, whether it only adds rows to the one before, path."""
         where = self._path(f"{self.root}/{table}")
         if not self._fs.exists(where):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(where)]
         done = [n for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        return sorted((int(n[2:].removesuffix(".add")), n.endswith(".add"), f"{self.root}/{table}/{n}") for n in done)
+
+    def versions(self, table: str) -> list[int]:
+        return [n for n, _, _ in self._parts(table)]
 
     def tables(self) -> list[str]:
         where = self._path(self.root)
@@ -44,17 +54,37 @@ class TableStore:
         return bool(self.versions(table))
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/v={version or self.versions(table)[-1]:06d}")
+        """A version: the last whole one up to it and the rows appended since."""
+        parts = [p for p in self._parts(table) if version is None or p[0] <= version]
+        paths = [path for _, _, path in parts[_whole(parts) :]]
+        return self.spark.read.option("mergeSchema", str(len(paths) > 1).lower()).parquet(*paths)
+
+    def _write(self, table: str, df: DataFrame, have: list[tuple[int, bool, str]], adds: bool) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={(have[-1][0] if have else 0) + 1:06d}{'.add' if adds else ''}")
 
     def overwrite(self, table: str, df: DataFrame) -> None:
-        """Write the next version; a version counts once its commit marker is there."""
-        have = self.versions(table)
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={(have[-1] if have else 0) + 1:06d}")
-        for old in have[: -self.keep + 1 or None] if self.keep > 1 else have:
-            self._fs.delete(self._path(f"{self.root}/{table}/v={old:06d}"), True)
+        """Write the next version whole; a version counts once its commit marker is there."""
+        have = self._parts(table)
+        self._write(table, df, have, False)
+        kept = len(have) - min(self.keep - 1, len(have)) if self.keep > 1 else len(have)
+        # appended rows need the whole version before them
+        for _, _, old in have[: _whole(have[: kept + 1]) if kept < len(have) else kept]:
+            self._fs.delete(self._path(old), True)
 
     def append(self, table: str, df: DataFrame) -> None:
-        self.overwrite(table, self.read(table).unionByName(df, allowMissingColumns=True) if self.exists(table) else df)
+        """Write only the new rows, as a version that adds to the one before.
+
+        The table is rewritten only where the type of one of its columns has to widen.
+        """
+        if not self.exists(table):
+            return self.overwrite(table, df)
+        now = self.read(table)
+        both = now.unionByName(df, allowMissingColumns=True)
+        if [f.dataType for f in both.schema][: len(now.columns)] != [f.dataType for f in now.schema]:
+            return self.overwrite(table, both)
+        types = {f.name.lower(): f for f in both.schema}
+        fields = [(c, types[c.lower()]) for c in df.columns]
+        self._write(table, df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in fields]), self._parts(table), True)
 
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
         self.overwrite(table, upsert(self.read(table), df, keys) if self.exists(table) else df)
@@ -73,8 +103,7 @@ class TableStore:
         """Upsert unless the same content was written before; False if it was."""
         digest = json.dumps([table, *frame_digest(df)])
         log = "_digests"
-        seen = {r.digest for r in self.read(log).collect()} if self.exists(log) else set()
-        if digest in seen:
+        if self.exists(log) and not self.read(log).where(F.col("digest") == digest).isEmpty():
             return False
         self.upsert(table, df.dropDuplicates(keys), keys)
         self.append(log, self.spark.createDataFrame([(digest,)], "digest string"))

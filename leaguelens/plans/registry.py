@@ -492,9 +492,23 @@ def html_titles(spark, d):
     return p.select("page_id", P.title(F.col("html")).alias("title"), F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"))
 
 
-@query(None)
+@query(r"""
+    SELECT CAST(-c_custkey AS BIGINT) AS page_id, CAST(r AS BIGINT) AS row, CASE r WHEN 0 THEN 'name|segment' ELSE c_name || '|' || c_mktsegment END AS cells
+    FROM customer CROSS JOIN (VALUES (0), (1)) AS v(r)
+    UNION ALL SELECT page_id, row, array_to_string(cells, '|') FROM (
+        SELECT page_id, CAST(pos - 1 AS BIGINT) AS row, list_transform(regexp_extract_all(tr, '(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), E' \t\r\n')) AS cells
+        FROM (SELECT page_id, unnest(rows) AS tr, generate_subscripts(rows, 1) AS pos FROM (SELECT page_id, string_split_regex(html, '(?i)<tr(?:\s[^>]*)?>')[2:] AS rows FROM pages) p) t
+    ) c WHERE len(cells) > 0
+""")
 def html_tables(spark, d):
-    return P.table_rows(*_t(spark, d, "pages"))
+    """Tables of the pages, and of one card for each customer, as the pages at hand may hold none."""
+    pages, customer = _t(spark, d, "pages", "customer")
+    line = lambda tag, *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")) for c in cells], F.lit("</tr>"))
+    body = line("td", F.col("c_name"), F.concat(F.lit(' <b class="s">'), F.col("c_mktsegment"), F.lit("</b>\n")))
+    card = F.concat(F.lit('<table id="card">'), line("th", F.lit("name"), F.lit("segment")), body, F.lit("</table>"))
+    cards = customer.select((-F.col("c_custkey")).cast("long").alias("page_id"), card.alias("html"))
+    rows = P.table_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), "html").unionByName(cards))
+    return rows.select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
 # ---- change data and checks

@@ -109,6 +109,11 @@ def test_history(spark):
     got = {r.source_row_hash: (r.yahoo_player_key, r.resolution_method, r.resolution_status) for r in maps.resolve_history(raw, players).collect()}
     assert got["h1"] == ("p1", "exact", "resolved") and got["h2"] == ("p2", "exact", "resolved") and got["h3"] == ("p3", "nickname_heuristic", "resolved")
     assert got["h4"] == ("p4", "dst_team_phrase", "resolved") and got["h5"][2] == "unresolved"
+    # an earlier step wins over a later one with another player, and the last key within a step
+    raw = spark.createDataFrame([("h6", "Chicago", "DEF"), ("h7", "Kenneth Gainwell", "RB"), ("h8", "Justin Jeferson", "WR")], raw.schema)
+    more = players.union(spark.createDataFrame([("p5", "Chicago", "DEF", "XXX"), ("p6", "Kenneth Gainwell", "RB", "TB")], players.schema))
+    got = {r.source_row_hash: (r.yahoo_player_key, r.resolution_method) for r in maps.resolve_history(raw, more).collect()}
+    assert got == {"h6": ("p5", "exact"), "h7": ("p6", "exact"), "h8": ("p1", "fuzzy")}
 
 
 def test_payloads(spark, tmp_path):

@@ -30,6 +30,28 @@ def test_store(spark, tmp_path):
     assert dict(store.inventory())["stg_x"] == 3
 
 
+def test_store_appends(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    row = lambda i, **more: spark.createDataFrame([(i, *more.values())], ["id", *more])
+    for i in range(3):
+        store.append("t", row(i))
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v=000001", "v=000002.add", "v=000003.add"]
+    assert [store.read("t", v).count() for v in store.versions("t")] == [1, 2, 3]
+    store.append("t", row(3, name="x"))
+    store.append("t", spark.createDataFrame([(4,)], "ID int"))
+    assert {tuple(r) for r in store.read("t").collect()} == {(0, None), (1, None), (2, None), (3, "x"), (4, None)}
+    store.overwrite("t", store.read("t").where("id > 2"))  # the version before it stays readable
+    assert store.versions("t") == [1, 2, 3, 4, 5, 6] and store.read("t", 5).count() == 5 and store.read("t").count() == 2
+    store.overwrite("t", row(9))
+    assert store.versions("t") == [6, 7] and [r.id for r in store.read("t").collect()] == [9]
+    narrow = spark.createDataFrame([(1,)], "n int")
+    store.append("w", narrow)
+    store.append("w", spark.createDataFrame([(2**40,)], "n long"))
+    assert sorted(r.n for r in store.read("w").collect()) == [1, 2**40] and dict(store.read("w").dtypes) == {"n": "bigint"}
+    store.append("w", narrow.limit(0))
+    assert store.read("w").count() == 2
+
+
 def test_upsert_and_union(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     b = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
