@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import connected_components, materialize, runs
+from leaguelens.llm.common import connected_components, discard, materialize, runs
 
 BANDS, BAND_ROWS = 30, 5
 #: 64-bit parts of a fingerprint; reference fingerprints of a bucket.
@@ -162,6 +162,7 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
 
     texts = slim.join(some, (F.col("id").cast("long") == F.col("i")) & (F.col("text_hash") == F.col("h"))).select("node", "t")
     sets = materialize(texts.mapInPandas(sets_of, "node long, set binary").dropDuplicates(["node"]), "shingle-sets")
+    discard(wanted)
     gate = gate_bits(similarity)
 
     def same(a: np.ndarray, b: np.ndarray) -> bool:
@@ -216,22 +217,32 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
             placed = met.join(parts, F.col("node") == F.col("k"), "left").withColumn("c", F.coalesce("component_id", "node")).drop("k", "component_id")
         placed = materialize(placed, "shingle-placed")
         several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        return materialize(placed.join(several, "key"), "shingle-mixed")
+        left = materialize(placed.join(several, "key"), "shingle-mixed")
+        discard(placed)
+        return left
 
     def closest(rest: DataFrame) -> DataFrame:
         dealt = _dealt(rest.select("key", "node", "c", "wide"), LIGHT, "cell")
         return materialize(solved(dealt, nearest, 20_000, "key long, node long, bits long, who long"), "shingle-near")
 
     rest = mixed(None)
-    pairs = closest(rest).groupBy("node").agg(F.min_by("who", F.struct("bits", "who")).alias("who"))
+    near = closest(rest)
+    discard(rest)
+    pairs = near.groupBy("node").agg(F.min_by("who", F.struct("bits", "who")).alias("who"))
     pairs = pairs.select(F.least("node", "who").alias("u"), F.greatest("node", "who").alias("v")).distinct()
     pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     links = materialize(pairs.select("u", "v", "a", "b").mapInPandas(check, "u long, v long"), "shingle-links")
+    discard(near)
     rest = mixed(links)
+    discard(met)
     # the rows that still have a close one in another component
-    open_rows = closest(rest).select("key", "node").distinct()
+    near = closest(rest)
+    open_rows = near.select("key", "node").distinct()
     heavy = materialize(rest.join(open_rows, ["key", "node"]).join(sets, "node").select("key", "node", "c", "wide", "set"), "shingle-open")
+    for done in (rest, near, sets):
+        discard(done)
     more = materialize(solved(_dealt(heavy, HEAVY, "cell"), verified, 512, "u long, v long"), "shingle-links")
+    discard(heavy)
     final = connected_components(links.unionByName(more)).withColumnRenamed("node", "k")
     named = classes.select("node", "first").join(final, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component_id", "node").alias("c"), "first")
     named = materialize(named, "shingle-named")
