@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from leaguelens.functions.casts import lenient
 
+#: Bounds of the ranges in which rows are numbered.
+RANGES = 256
+
 
 class ContractError(ValueError):
     """A frame does not meet its contract."""
@@ -124,22 +127,40 @@ def check_record(record: dict, contract: Contract, allow_extra: bool = True) ->
             raise ContractError(f"{contract.name}: {what}: {', '.join(names)}")
 
 
+def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``row``, the place in ``order`` (nulls last) from 0.
+
+    Rows are numbered within ranges of the order and the ranges follow each other, so no
+    task holds the whole table.  A row's range depends on its values and on bounds drawn by
+    a hash alone, as partitions and their ids may differ between two reads of one plan.
+    """
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    # all values may bound ranges; the hash only draws some
+    drawn = df.select(place.alias("p")).where("p is not null").orderBy(F.xxhash64("p"), "p").limit(8 * RANGES)
+    bounds = drawn.agg(F.sort_array(F.collect_list("p")).alias("p")).select(F.filter("p", lambda _, i: i % 8 == 7).alias("__bounds"))
+    # the number of bounds up to the row, by halving
+    steps = F.array(*[F.lit(RANGES >> i) for i in range(RANGES.bit_length())])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__bounds", at + step - 1) <= F.col("__place"), at + step).otherwise(at))
+    ranged = df.withColumn("__place", place).crossJoin(F.broadcast(bounds))
+    ranged = ranged.withColumn("__range", F.when(F.col("__place").isNull(), F.lit(RANGES + 1)).otherwise(found)).drop("__bounds", "__place")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    first = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.asc_nulls_last(c) for c in order]))
+    return ranged.withColumn("__at", within).join(F.broadcast(first), "__range").withColumn("row", F.col("__first") + F.col("__at") - 1).drop("__range", "__first", "__at")
+
+
 def row_problems(df: DataFrame, contract: Contract, order: list[str]) -> DataFrame:
     """Rows that break the contract, each with its ``row`` (from 0, in ``order``) and ``problem``.
 
     A row is named for the null fields of the required ones, else for null key fields, else
-    as a repeat of an earlier row with its key.  Rows are numbered by range partitions and
-    their sizes, so no task holds the whole table; ``order`` should be unique.
+    as a repeat of an earlier row with its key.  Nulls come last in ``order``, which should
+    be unique.
     """
     def nulls(names: tuple[str, ...]) -> Column:
         found = [F.when(F.col(c).isNull(), F.lit(c)) for c in names if c in df.columns]
         return F.nullif(F.concat_ws(", ", *found), F.lit("")) if found else F.lit(None).cast("string")
 
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    sizes = ordered.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    first = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ordered.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(first.drop("__n")), "__part")
-    numbered = numbered.withColumn("row", F.col("__first") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = _numbered(df, order)
     repeat = F.lit(False)
     if contract.key and set(contract.key) <= set(df.columns):
         repeat = F.row_number().over(Window.partitionBy(*contract.key).orderBy("row")) > 1

@@ -41,6 +41,27 @@ def test_first_problem_names_its_row(spark):
     check_in_order(df.where("i < 100"), c, ["i"])
 
 
+def test_rows_are_numbered_alike_whatever_the_partitions(spark):
+    # more rows a partition than Spark samples for its range bounds
+    c = Contract("c", {"i": "bigint", "a": "bigint"}, ("i",), ())
+    n = 100_000
+    df = spark.range(0, n, 1, 6).select(F.when(F.col("id") < n - 3, F.pmod(F.col("id") * 7919, F.lit(n - 3))).alias("i"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("a"))
+    wide = F.concat(*[F.sha2(F.concat("i", F.lit(k)), 256) for k in "abcdefgh"])
+    found = row_problems(df.withColumn("text", wide), c, ["i"])
+    got = found.agg(F.count(F.lit(1)), F.count_if(F.col("i") != F.col("row")), F.countDistinct("row"), F.min(F.when(F.col("i").isNull(), F.col("row")))).first()
+    want = df.where("a is null").count()
+    assert tuple(got) == (want, 0, want, n - 3)
+
+
+def test_contract_problems_of_odd_orders(spark, tmp_path):
+    from leaguelens.plans.registry_tables import contract_problems
+
+    rows = [(1, 5, "O", None), (2, 5, "F", None), (None, 5, "P", "2024-01-01"), (4, 11, "O", "2024-01-01"), (None, 5, "O", None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in contract_problems(spark, str(tmp_path)).where("o_orderkey is not null").collect()}
+    assert got == {(1, "duplicate key", 2), (2, "null key: customer", 4)}
+
+
 def test_fill_crosses_groups_only_forwards(spark):
     rows = [("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None), ("b", 2, None), ("c", 1, "y")]
     got = tables.fill_back_then_on(spark.createDataFrame(rows, "g string, i int, v string"), ["g"], ["i"], ["v"]).orderBy("g", "i").collect()
