@@ -95,6 +95,11 @@ def check_columns(df: DataFrame, contract: Contract, allow_extra: bool = False)
     return [f"{contract.name}: missing columns {missing}"] * bool(missing) + [f"{contract.name}: unexpected columns {extra}"] * bool(extra)
 
 
+def key_repeats(df: DataFrame, contract: Contract) -> DataFrame:
+    """Keys of more than one row, with the number of ``extra`` rows; nulls are equal, as in pandas."""
+    return df.groupBy(*contract.key).agg((F.count(F.lit(1)) - 1).alias("extra")).where("extra > 0")
+
+
 def check_rows(df: DataFrame, contract: Contract, allow_empty: bool = False) -> list[str]:
     """Messages on emptiness, nulls in required columns and repeated keys, from two aggregations."""
     required = [c for c in contract.required if c in df.columns]
@@ -102,7 +107,7 @@ def check_rows(df: DataFrame, contract: Contract, allow_empty: bool = False) ->
     out = [f"{contract.name}: table is empty"] * (row.n == 0 and not allow_empty)
     out += [f"{contract.name}: {row[f'null_{c}']} null values in {c}" for c in required if row[f"null_{c}"]]
     if contract.key and set(contract.key) <= set(df.columns):
-        distinct = df.groupBy(*contract.key).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()[0]
+        distinct = key_repeats(df, contract).agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
         out += [f"{contract.name}: {distinct} duplicate keys on {list(contract.key)}"] * bool(distinct)
     return out
 

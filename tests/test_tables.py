@@ -57,11 +57,21 @@ def test_contract_problems_of_odd_orders(spark, tmp_path):
     from leaguelens.plans.registry_tables import contract_problems
 
     rows = [(1, 5, "O", None), (2, 5, "F", None), (None, 5, "P", "2024-01-01"), (4, 11, "O", "2024-01-01"), (None, 5, "O", None)]
-    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    # the name of a column, too, is read as a table
+    spark.range(1).write.parquet(f"{tmp_path}/customer.parquet")
     got = {tuple(r) for r in contract_problems(spark, str(tmp_path)).where("o_orderkey is not null").collect()}
     assert got == {(1, "duplicate key", 2), (2, "null key: customer", 4)}
 
 
+def test_key_violations_count_null_keys(spark, tmp_path):
+    from leaguelens.plans.registry_tables import key_violations
+
+    lines = [(1, "A"), (1, "A"), (1, "B"), (None, "A"), (None, "A"), (None, "A"), (2, None), (2, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string").selectExpr("*", "1 l_linenumber", "2L l_partkey", "3L l_suppkey", "4D l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in key_violations(spark, str(tmp_path)).collect()} == {(1, "A", 1), (None, "A", 2), (2, None, 1)}
+
+
 def test_fill_crosses_groups_only_forwards(spark):
     rows = [("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None), ("b", 2, None), ("c", 1, "y")]
     got = tables.fill_back_then_on(spark.createDataFrame(rows, "g string, i int, v string"), ["g"], ["i"], ["v"]).orderBy("g", "i").collect()
