@@ -37,6 +37,19 @@ def fill_back_then_on(df: DataFrame, group: list[str], order: list[str], columns
     return out.join(carried, on, "left").select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def not_in(df: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """Rows whose ``key`` is NOT IN the column ``other`` of ``others``, with SQL's nulls.
+
+    None, if ``others`` has a null; all, if it has no row; null keys only in the latter case.
+    Spark broadcasts all of ``others`` for this; here only its two counts are broadcast.
+    """
+    keys = others.select(F.col(other).alias("__k"))
+    counts = keys.agg(F.count(F.lit(1)).alias("__n"), F.count("__k").alias("__known"))
+    apart = df.hint("merge").join(keys.where("__k is not null").hint("merge"), F.col(key) == F.col("__k"), "left_anti")
+    kept = (F.col("__n") == 0) | ((F.col("__n") == F.col("__known")) & F.col(key).isNotNull())
+    return apart.crossJoin(F.broadcast(counts)).where(kept).select(*df.columns)
+
+
 def per_game(df: DataFrame, stat: str, count: str, group: list[str], name: str = "ppg") -> DataFrame:
     """Adds the group's mean of ``stat``, its non-null ``count`` as gp and the rank of its mean.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leaguelens.functions import casts, hashing, stats, text
-from leaguelens.operators import change, dedup, resolve
+from leaguelens.operators import change, dedup, resolve, tables
 from leaguelens.plans import league as L
 from leaguelens.plans import driver as D
 from leaguelens.plans import models
@@ -290,7 +290,14 @@ shared("scoring_by_team", """
 """)
 shared("coverage_gap", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
 shared("anti_not_exists", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-shared("anti_not_in_null", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT nullif(l_orderkey, 0) FROM lineitem)")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT nullif(l_orderkey, 0) FROM lineitem)")
+def anti_not_in_null(spark, d):
+    o, l = _t(spark, d, "orders", "lineitem")
+    return tables.not_in(o.select("o_orderkey"), "o_orderkey", l.select(F.nullif("l_orderkey", F.lit(0)).alias("k")), "k")
+
+
 shared("semi_join", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 shared("case_insensitive_join", "SELECT o_orderkey, s.label FROM orders JOIN (SELECT 'f' AS code, 'final' AS label UNION ALL SELECT 'o', 'open') s ON upper(s.code) = upper(o_orderstatus)")
 shared("cast_key_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON CAST(CAST(o_custkey AS VARCHAR(20)) AS BIGINT) = c_custkey WHERE o_totalprice > 400000")

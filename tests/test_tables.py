@@ -80,6 +80,14 @@ def test_null_required_keeps_null_keys(spark, tmp_path):
     assert sorted((r.c_custkey is None, r.c_custkey) for r in null_required(spark, str(tmp_path)).collect()) == [(False, 1), (False, 1), (True, None)]
 
 
+def test_not_in_without_a_broadcast_of_keys(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    for others, want in (([(2,)], [1]), ([(2,), (None,)], []), ([], [1, 2, None])):
+        out = tables.not_in(df, "k", spark.createDataFrame(others, "o long"), "o")
+        assert sorted((r.k for r in out.collect()), key=str) == sorted(want, key=str)
+        assert "HashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fill_crosses_groups_only_forwards(spark):
     rows = [("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 1, None), ("b", 2, None), ("c", 1, "y")]
     got = tables.fill_back_then_on(spark.createDataFrame(rows, "g string, i int, v string"), ["g"], ["i"], ["v"]).orderBy("g", "i").collect()
