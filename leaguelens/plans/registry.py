@@ -336,8 +336,10 @@ _PAIRS = """
         (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY gap, left_id, right_id) AS q FROM ({_PAIRS}) p) x WHERE q = 1) y) z WHERE r = 1
 """)
 def greedy_one_to_one(spark, d):
-    pairs = _pairs(spark, d)
-    return dedup.greedy_one_to_one(pairs, "left_id", "right_id", F.col("gap"), F.col("left_id"), F.col("right_id")).select("left_id", "right_id")
+    (p,) = _t(spark, d, "part")
+    # the best pair of every right part, which is all that the choice takes from all pairs
+    pairs = dedup.nearest_pairs(p, ["p_name", "p_brand"], "p_partkey", "p_size")
+    return dedup.greedy_one_to_one(pairs, "left_id", "right_id", F.asc_nulls_last("gap"), F.col("left_id"), F.col("right_id")).select("left_id", "right_id")
 
 
 def _pairs(spark, d) -> DataFrame:

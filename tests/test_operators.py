@@ -128,3 +128,29 @@ def test_crosswalk(spark):
     ranks = spark.createDataFrame([("jt", 3)], "left_id string, rank int")
     got = {(r.left_id, r.right_id, r.method) for r in resolve.crosswalk(left, right, ranks).collect()}
     assert ("jt", 102, "fuzzy") in got
+
+
+def test_nearest_pairs_equal_all_pairs(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.choice("abc"), draw.choice("xy") if draw.random() > 0.1 else None, draw.randrange(14), draw.randrange(9) if draw.random() > 0.2 else None) for _ in range(90)]
+    rows += [("d", "x", k, v) for k, v in ((1, 1), (1, 2), (1, 3), (2, 9), (3, None))]
+    df = spark.createDataFrame(rows, "g string, h string, k long, v int")
+    got = {}
+    for r in dedup.nearest_pairs(df, ["g", "h"], "k", "v").collect():
+        order = (r.gap is None, r.gap or 0, r.left_id)
+        got[r.right_id] = min(order, got.get(r.right_id, order))
+    want = {}
+    for g, h, k, v in rows:
+        for g2, h2, k2, v2 in rows:
+            if h is not None and (g, h) == (g2, h2) and k != k2:
+                none = v is None or v2 is None
+                order = (none, 0 if none else abs(v - v2), k2)
+                want[k] = min(order, want.get(k, order))
+    assert got == want
+
+
+def test_pairs_are_not_expanded(spark):
+    df = spark.range(200).selectExpr("'a' AS g", "id AS k", "CAST(id % 7 AS int) AS v")
+    assert dedup.nearest_pairs(df, ["g"], "k", "v").count() == 200
