@@ -4,9 +4,9 @@ Counts cover all training documents.  The most frequent words form the model's v
 (all others are one rare word, spelt by the smoothed counts), arranged in classes of equal
 size by frequency: the softmax first picks the class, then the word in it.  Biases start
 at the corpus's frequencies.  The recurrent weights are trained in numpy by truncated
-backpropagation on a fixed share of the training documents, which grows with them: in every
-round copies of the model learn from parts of it in as many groups, and their parameters are
-averaged, by blocks, in the cluster.  Scoring runs many documents in lockstep and carries
+backpropagation on all training documents: in every round copies of the model learn from
+parts of a quarter of them in as many groups, and their parameters are averaged, by blocks,
+in the cluster.  Scoring runs many documents in lockstep and carries
 each state from window to window to the end of its document.
 
 A bounded head of the counts is broadcast; rarer words meet their counts in a join.
@@ -28,10 +28,10 @@ from leaguelens.llm.common import materialize
 
 #: Words in the recurrent model; words whose counts are broadcast.
 VOCABULARY, HEAD = 4096, 200_000
-HIDDEN, CLASS_WORDS, WINDOW, LANES, TRAIN_LANES = 24, 64, 32, 512, 128
+HIDDEN, CLASS_WORDS, WINDOW, LANES, TRAIN_LANES = 24, 64, 32, 512, 256
 #: Share of the training documents that the recurrent weights are fitted on; rounds; words of a
 #: model copy in all rounds, at least, where the corpus allows several; numbers of a parameter block.
-FIT_SHARE, ROUNDS, COPY_WORDS, BLOCK = 0.125, 4, 1_500_000, 16_384
+FIT_SHARE, ROUNDS, COPY_WORDS, BLOCK = 1.0, 4, 3_000_000, 16_384
 ALPHA = 0.1
 
 
@@ -265,9 +265,9 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def fit_model(model: GatedModel, train: DataFrame, words: int, number: dict[bytes, int], rare: int, share: float = FIT_SHARE, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -> None:
-    """Train ``model`` on the texts t of a ``share`` of ``train``, drawn by a hash of id and text.
+    """Train ``model`` on the texts t of ``train``, or of a ``share`` of it drawn by a hash of id and text.
 
-    Each round takes its own part of the share.  Copies of the model learn from a group
+    Each round takes its own part of them.  Copies of the model learn from a group
     of texts each and are averaged by their words; the driver sees one set of parameters
     a round.  ``words`` is the number of words of ``train``.
     """
@@ -322,8 +322,8 @@ def score_documents(
 
     Returns id, n_tokens (words and one end), n_known, train_tokens, base_score (the
     smoothed counts alone) and score (the recurrent model).  Counts cover every usable
-    document; the recurrent weights are fitted on a share ``fit_share`` of these, drawn by
-    a hash.  Null and empty texts are their end alone; a null id is no training document;
+    document; the recurrent weights are fitted on all of these too, unless ``fit_share``
+    is less than 1, which draws a share by a hash.  Null and empty texts are their end alone; a null id is no training document;
     repeated rows count and return as often as they occur; an empty table gives an empty
     result; other columns are ignored.
     """

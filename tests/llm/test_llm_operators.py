@@ -502,3 +502,14 @@ def test_lockstep_scores_equal_single_ones():
     docs = [rng.integers(0, 50, n) for n in (1, 5, 70, 33, 32, 64, 0, 9)]
     together = m.score(docs)
     assert np.allclose(together, [m.score([d])[0] for d in docs], atol=1e-3)
+
+
+def test_recurrent_weights_learn_from_every_document(spark):
+    words = [b"w%d" % i for i in range(40)]
+    train = spark.createDataFrame([(i, " ".join(["w%d" % i] * 50)) for i in range(40)], "id long, t string")
+    number = {b"": 0} | {w: i + 1 for i, w in enumerate(words)}
+    model = lm_score.GatedModel(np.full(42, 50.0))
+    before = model.p["x"].copy()
+    lm_score.fit_model(model, train, 40 * 51, number, 41)
+    # only words that were read change their inputs
+    assert (model.p["x"] != before).any(1)[1:41].all()
