@@ -21,12 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaguelens.llm.common import connected_components, hash_sample, materialize
+from leaguelens.llm.common import connected_components, discard, hash_sample, materialize, release
 
 #: Neighbours kept, random projections per start, sort neighbours compared, members of a local join, rows of a block.
 K, PROJECTIONS, REACH, CHUNK, BLOCK = 12, 6, 6, 32, 1024
 #: Rows of a block where all rows meet; rows that the projections and reach above are meant for.
 WIDE, SMALL = 8192, 10_000
+#: Candidates of a row that one projection keeps besides those at the threshold; projections of a
+#: step, rows of a slice of a round and slices at most: tables beyond a slice go by steps and slices, to bound the disk.
+KEPT, STEP, SLICE, SLICES = 4, 3, 200_000, 16
 #: Slack of the one-byte vectors used while searching.
 SLACK = 0.03
 
@@ -60,15 +63,18 @@ def _runs(batches: Iterator[pd.DataFrame], key: str, least: int, solve) -> Itera
         yield solve(held)
 
 
-def _start(nodes: DataFrame, dim: int, seed: int, projections: int = PROJECTIONS, reach: int = REACH) -> DataFrame:
-    """First candidates (u, v, sim): rows of different components ``c`` close in the order of random sign codes."""
+def _start(nodes: DataFrame, dim: int, seed: int, near: float, projections: range = range(PROJECTIONS), reach: int = REACH) -> DataFrame:
+    """First candidates (u, v, sim): rows of different components ``c`` close in the order of random sign codes.
+
+    A projection keeps those that are among the ``KEPT`` best of one of their rows, and all from ``near`` on.
+    """
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.default_rng(seed).standard_normal((projections, dim, 17)).astype(np.float32)
+        planes = [np.random.default_rng([seed, t]).standard_normal((dim, 17)).astype(np.float32) for t in projections]
         for pdf in batches:
             x = _unpack(pdf["q"])
-            for t in range(projections):
-                y = x @ planes[t]
+            for t, plane in zip(projections, planes):
+                y = x @ plane
                 code = (y[:, :16] > 0) @ (1 << np.arange(16))
                 yield pd.DataFrame({"t": t, "code": code, "pos": y[:, 16], "id": pdf["id"], "c": pdf["c"], "q": pdf["q"]})
 
@@ -83,14 +89,24 @@ def _start(nodes: DataFrame, dim: int, seed: int, projections: int = PROJECTIONS
             # the end of each row's run of its own component, beyond which others begin
             ends = np.append(np.flatnonzero(c[1:] != c[:-1]) + 1, len(c))
             end = ends[np.searchsorted(ends, np.arange(len(c)), side="right")]
+            # similarity by row and place of the next ones, of those before, and of those beyond the run
+            after, before, beyond = (np.full((len(c), reach), -2, np.float32) for _ in range(3))
             for s in range(1, reach + 1):
                 i = np.arange(max(0, new - s), len(ids) - s)
+                i = i[(t[i] == t[i + s]) & (c[i] != c[i + s])]
+                after[i, s - 1] = before[i + s, s - 1] = np.einsum("ij,ij->i", x[i], x[i + s])
                 far = np.flatnonzero(end + s - 1 < len(ids))
                 far = far[(end[far] + s - 1 >= new) & (end[far] - far > 1)]
-                i, j = np.concatenate([i, far]), np.concatenate([i + s, end[far] + s - 1])
-                ok = (t[i] == t[j]) & (c[i] != c[j])
-                i, j = i[ok], j[ok]
-                yield pd.DataFrame({"u": ids[i], "v": ids[j], "sim": np.einsum("ij,ij->i", x[i], x[j])})
+                j = end[far] + s - 1
+                ok = (t[far] == t[j]) & (c[far] != c[j])
+                beyond[far[ok], s - 1] = np.einsum("ij,ij->i", x[far[ok]], x[j[ok]])
+            kept = min(KEPT, 3 * reach)
+            least = np.minimum(np.partition(np.concatenate([after, before, beyond], 1), -kept, 1)[:, -kept], np.float32(near))
+            for sims, first in ((after, np.arange(len(c)) + 1), (beyond, end)):
+                i, s = np.nonzero(sims > -2)
+                j, sim = first[i] + s, sims[i, s]
+                ok = (sim >= least[i]) | (sim >= least[j])
+                yield pd.DataFrame({"u": ids[i[ok]], "v": ids[j[ok]], "sim": sim[ok]})
             tail = rows.iloc[-reach:].reset_index(drop=True)
 
     coded = nodes.select("id", "c", "q").mapInPandas(codes, "t int, code long, pos float, id long, c long, q binary")
@@ -102,12 +118,13 @@ def _best(pairs: DataFrame, k: int, near: float) -> DataFrame:
     """The k nearest of every row (r <= k) and all candidates from ``near`` on, both directions of each counted."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).where("u <> v")
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    once = both.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    # dealt by row once, which serves both the groups and the order
+    once = both.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
     return once.withColumn("r", F.row_number().over(order)).where((F.col("r") <= k) | (F.col("sim") >= near))
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """Candidates of different components among the neighbours and reverse neighbours of each row.
+def _descend(lists: DataFrame, nodes: DataFrame, most: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Candidates of different components among the neighbours and reverse neighbours of each row of a ``part`` of ``parts``.
 
     Lists go beyond K only while their last neighbour reaches the threshold, so ``most``
     above K enlarges the saturated lists and no others.
@@ -132,7 +149,8 @@ def _descend(lists: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
                 out.append(pd.DataFrame({"u": u.ravel(), "v": v.ravel(), "sim": np.take_along_axis(sims, best, 2).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"u": [], "v": [], "sim": []}).astype({"u": "int64", "v": "int64", "sim": "float32"})
 
-    around = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).unionByName(lists.select(F.col("v").alias("w"), F.col("u").alias("id"))).distinct()
+    around = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).unionByName(lists.select(F.col("v").alias("w"), F.col("u").alias("id")))
+    around = around.where(F.pmod(F.xxhash64("w", F.lit(7)), F.lit(parts)) == part).distinct()
     degree = around.groupBy("w").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     cell = F.xxhash64("w", F.pmod(F.xxhash64("id", "w"), F.col("chunks")))
     members = around.join(degree, "w").select(cell.alias("cell"), "id").join(nodes.select("id", "c", "q"), "id")
@@ -186,7 +204,9 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
 
     dealt = cells.repartition(F.col("cell")).sortWithinPartitions("cell")
     counted = dealt.mapInPandas(lambda it: _runs(it, "cell", 4096, block), "id long, n long")
-    return certain.unionByName(counted).groupBy("id").agg(F.sum("n").alias("n"))
+    out = materialize(certain.unionByName(counted).groupBy("id").agg(F.sum("n").alias("n")), "nn-counts")
+    discard(placed)
+    return out
 
 
 def _missed(nodes: DataFrame, threshold: float, rows: int) -> DataFrame:
@@ -233,7 +253,11 @@ def near_groups(
     d = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     good = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(good & F.exists(d, lambda x: x != 0), F.lit(False))
-    base = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, d).alias("v")), "nn-rows")
+    # single precision is stored as such, and widened where it is read
+    stored = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    wide = F.col("v").cast("array<double>")
+    narrow = materialize(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, F.col(vec_col).cast(stored)).alias("v")), "nn-rows")
+    base = narrow.withColumn("v", wide)
     valid = base.where("v is not null")
     sizes = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = sizes[0].d if sizes else 0
@@ -242,24 +266,37 @@ def near_groups(
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "m": pdf["m"], "v": pdf["v"], "q": _pack(_unit(pdf["v"])) if len(pdf) else []})
 
-    classes = valid.where(F.size("v") == dim).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
-    nodes = materialize(classes.select("id", "m", "v").mapInPandas(pack, "id long, m long, v array<double>, q binary"), "nn-nodes")
+    classes = narrow.where(F.col("v").isNotNull() & (F.size("v") == dim)).groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+    nodes = materialize(classes.select("id", "m", "v").mapInPandas(pack, f"id long, m long, v {stored}, q binary"), "nn-nodes").withColumn("v", wide)
     counts = links = parts = None
     rows = nodes.count() if dim else 0
     ends = [nodes.select(F.col("id").alias(i), F.col("v").alias(x)) for i, x in (("u", "a"), ("v", "b"))]
+    near, slices = threshold - SLACK, max(1, min(SLICES, rows // SLICE))
+
+    def improved(lists: DataFrame | None, found: DataFrame) -> DataFrame:
+        out = materialize(_best(found if lists is None else found.unionByName(lists.drop("r")), K, near), "nn-lists")
+        if lists is not None:
+            discard(lists)
+        release(nodes.sparkSession)
+        return out
+
     for attempt in range(starts + 1 if dim else 0):
         known = nodes.withColumn("c", F.col("id"))
         if parts is not None:
-            known = materialize(nodes.join(parts, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("node", "component_id"), "nn-known")
+            known = materialize(nodes.select("id", "q", *["v"] * (attempt == starts)).join(parts, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component_id", "id")).drop("node", "component_id"), "nn-known")
         lists = None
         if attempt == starts:
             close = _missed(known, threshold, rows)
         else:
             # the chance that two near rows sort together falls slowly with the number of rows
             grown = 2**attempt * max(1.0, rows / SMALL) ** 0.25
-            lists = materialize(_best(_start(known, dim, 100 + attempt, math.ceil(PROJECTIONS * grown), math.ceil(REACH * grown)), K, threshold - SLACK), "nn-lists")
+            projections, reach = math.ceil(PROJECTIONS * grown), math.ceil(REACH * grown)
+            step = projections if slices == 1 else STEP
+            for t in range(0, projections, step):
+                lists = improved(lists, _start(known, dim, 100 + attempt, near, range(t, min(t + step, projections)), reach))
             for number in range(rounds):
-                lists = materialize(_best(_descend(lists, known, K << number).unionByName(lists.drop("r")), K, threshold - SLACK), "nn-lists")
+                for part in range(slices):
+                    lists = improved(lists, _descend(lists, known, K << number, part, slices))
             close = lists.where(F.col("sim") >= threshold - SLACK).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = materialize(close.join(ends[0], "u").join(ends[1], "v").where(_cosine("a", "b") >= threshold).select("u", "v"), "nn-links")
         found = new.count()
@@ -267,9 +304,13 @@ def near_groups(
             links = new if links is None else links.unionByName(new)
             parts = materialize(connected_components(links), "nn-parts")
             members = nodes.join(parts, F.col("id") == F.col("node")).select(F.col("component_id").alias("component"), "id", "m", "v")
-            counts = materialize(_count_links(members, threshold), "nn-counts")
+            counts = _count_links(members, threshold)
         # full lists may hide links to other components; the next pass looks there
         full = lists is not None and found and not lists.where((F.col("r") >= K) & (F.col("sim") >= threshold - SLACK)).isEmpty()
+        if lists is not None:
+            discard(lists)
+        if parts is not None and attempt and attempt < starts:
+            discard(known)
         if not full and _audit(nodes, counts, threshold, audit_rows) >= recall:
             break
     if counts is None:

@@ -46,3 +46,19 @@ def test_audit_sees_missed_pairs(spark):
     nodes = rows(spark, x).selectExpr("vec_id as id", "1L as m", "embedding as v")
     found = spark.createDataFrame([(i, 2) for i in [*range(20), *range(200, 220)]], "id long, n long")
     assert nn_descent._audit(nodes, found, 0.9, 4096) == pytest.approx(0.5)
+
+
+def test_slices_leave_no_lists_behind(spark, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    from leaguelens.llm.common import shared_dir
+
+    folder = f"{urlparse(shared_dir(spark)).path}/leaguelens/{spark.sparkContext.applicationId}"
+    passing = lambda: {f for f in os.listdir(folder) if f.startswith(("nn-lists", "nn-known", "nn-members"))}
+    x = clumps(np.random.default_rng(5), groups=8)
+    nn_descent.near_groups(rows(spark, x[:2])).count()
+    monkeypatch.setattr(nn_descent, "SLICE", 150)
+    before = passing()
+    assert sorted(map(tuple, nn_descent.near_groups(rows(spark, x)).collect())) == brute(x)
+    assert passing() == before
