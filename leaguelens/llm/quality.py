@@ -69,17 +69,22 @@ class QualityModel:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-regularised hinge loss; the bias is one more feature."""
     alpha, w, bias = np.zeros(len(rows)), np.zeros(len(ratio)), 0.0
-    values = [ratio[r] / max(1, len(r)) ** 0.5 for r in rows]
-    norm = np.array([v @ v + 1 for v in values])
+
+    def values(i: int) -> np.ndarray:
+        # anew each time, as those of all rows would take more of the driver's memory than the rows
+        return ratio[rows[i]] / max(1, len(rows[i])) ** 0.5
+
+    norm = np.array([(v := values(i)) @ v + 1 for i in range(len(rows))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            gap = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            v = values(i)
+            gap = y[i] * (w[rows[i]] @ v + bias) - 1
             step = min(max(alpha[i] - gap / norm[i], 0.0), c) - alpha[i]
             if step:
                 alpha[i] += step
-                w[rows[i]] += step * y[i] * values[i]
+                w[rows[i]] += step * y[i] * v
                 bias += step * y[i]
                 most = max(most, abs(step))
         if most < 1e-3 * c:
@@ -143,8 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, fit_rows: int = FI
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [features(t).tobytes() for t in pdf["t"]]})
 
-    got = sorted(texts.mapInPandas(run, f"id {dict(labels.dtypes)[id_col]}, y int, f binary").collect(), key=lambda r: r.id)
-    return fit([np.frombuffer(r.f, np.int32) for r in got], np.array([r.y for r in got], int))
+    # the lists are views of Arrow's buffers: rows of objects would stay in the driver's memory
+    got = texts.mapInPandas(run, f"id {dict(labels.dtypes)[id_col]}, y int, f binary").toArrow()
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    found = [np.frombuffer(f.as_buffer(), np.int32) for f in got["f"]]
+    return fit([found[i] for i in order], got["y"].to_numpy().astype(int)[order])
 
 
 def score_documents(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:

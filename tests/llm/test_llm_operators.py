@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,6 +90,17 @@ def test_dual_descent_reaches_the_margin():
     assert all(s * (w[r].sum() / len(r) ** 0.5 + b) > 0.98 for r, s in zip(rows, (1, 1, -1, -1)))
 
 
+def test_descent_holds_no_values_of_all_rows():
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(4000, 1000, replace=False)).astype(np.int32) for _ in range(400)]
+    tracemalloc.start()
+    quality.descend(rows, np.where(np.arange(400) % 2, 1.0, -1.0), rng.standard_normal(4000), 1.0, 2, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # less than the lists themselves take
+    assert peak < sum(r.nbytes for r in rows) / 2
+
+
 # ---- op2
 
 def test_encoder_equals_library(docs, nothing):
@@ -415,6 +427,36 @@ def test_personal_data(spark, nothing):
     assert pii.find_personal_data(nothing).count() == 0
 
 
+def test_span_model_takes_one_aggregation(spark):
+    texts = [f"mail me at user{i}@site.com or +1 555 123 4{i:03d}, host 10.0.0.{i}; 555-123-{i:04d} jane (at) mail (dot) org" for i in range(40)]
+    found = pii.candidates(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    found.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("span-model", "")
+    model = pii.fit(found)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # the driver plans few jobs, however many rounds there are: each one leaves plans and classes in its memory
+    assert 1 <= len(sc.statusTracker().getJobIdsForGroup("span-model")) <= 4
+    # the same by spans instead of counts
+    spans = [(k, s.votes, s.votes + s.features) for r in found.collect() for k in pii.KINDS for s in r[f"pii_{k}"]]
+    p = [0.9 if sum(v) >= 2 else 0.6 if sum(v) > 0 else 0.1 for _, v, _ in spans]
+    for turn in range(10):
+        weight, prior = {}, {}
+        for k in {s[0] for s in spans}:
+            mine = [(x, w) for (kind, _, x), w in zip(spans, p) if kind == k]
+            a, b = sum(w for _, w in mine), sum(1 - w for _, w in mine)
+            prior[k] = np.log((a + 1) / (b + 1))
+            for j in range(len(mine[0][0]) if turn == 9 else 4):
+                values = {x[j] for x, _ in mine}
+                for v in values:
+                    yes, no = sum(w for x, w in mine if x[j] == v), sum(1 - w for x, w in mine if x[j] == v)
+                    weight[k, j, v] = np.log((yes + 1) / (a + len(values) + 1)) - np.log((no + 1) / (b + len(values) + 1))
+        p = [1 / (1 + np.exp(-prior[k] - sum(weight[k, j, x] for j, x in enumerate(v)))) for k, v, _ in spans]
+    assert model.weight.keys() == weight.keys() and model.prior.keys() == prior.keys()
+    assert np.allclose([model.weight[k] for k in weight], list(weight.values())) and np.allclose([model.prior[k] for k in prior], list(prior.values()))
+    found.unpersist()
+
+
 # ---- op10
 
 def test_language_model(docs, nothing, spark):
