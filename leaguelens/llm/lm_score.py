@@ -18,9 +18,11 @@ import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,13 @@ HIDDEN, CLASS_WORDS, WINDOW, LANES, TRAIN_LANES = 24, 64, 32, 512, 256
 #: model copy in all rounds, at least, where the corpus allows several; numbers of a parameter block.
 FIT_SHARE, ROUNDS, COPY_WORDS, BLOCK = 1.0, 4, 3_000_000, 16_384
 ALPHA = 0.1
+#: Rows of states whose scores are worked on at a time.
+CHUNK = 2048
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | bytes | None) -> list[bytes]:
+    raw = text or b""
+    return (raw.encode("utf-8", "surrogatepass") if isinstance(raw, str) else raw).lower().split()
 
 
 class GatedModel:
@@ -64,60 +69,82 @@ class GatedModel:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         k = h.shape[1]
-        a, b = self.p["x"][x], h @ self.p["u"]
+        a, b = self.p["x"].take(x, 0), h @ self.p["u"]
         zr = a[:, : 2 * k] + b[:, : 2 * k]
         np.exp(np.negative(zr, out=zr), out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
-        return n + z * (h - n), z, r, n, b[:, 2 * k :]
+        z, r, b = zr[:, :k], zr[:, k:], b[:, 2 * k :]
+        n = r * b
+        n += a[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, b
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each ``y`` after state ``h``; with ``grads``, adds gradients and returns that of h."""
-        p, cls, pos = self.p, y // self.m, y % self.m
+        p, cls, pos, k = self.p, y // self.m, y % self.m, h.shape[1]
         out = np.empty(len(y))
         dh = None if grads is None else np.empty_like(h)
-        # some rows at a time, so that their class scores stay in the cache
-        for at in range(0, len(y), 2048):
-            hk, k = h[at : at + 2048], cls[at : at + 2048]
-            rows = np.arange(len(k))
-            e = hk @ p["c"]
-            e += p["cb"]
-            e -= e.max(1, keepdims=True)
-            chosen = e[rows, k]
+        # biases as weights of a last input of ones
+        c = np.concatenate([p["c"], p["cb"][None]])
+        w = np.concatenate([p["w"], p["wb"][:, None]], 1)
+        top = float(np.abs(h).max(initial=0))
+
+        def bounded(weights: np.ndarray, biases: np.ndarray) -> np.ndarray:
+            # whether the scores can be raised as they are, without taking off their largest
+            reach, most = top * np.abs(weights).sum(-2).max(-1), biases.max(-1)
+            return (most + reach < 60) & (most - reach > -60)
+
+        def softmax(hk: np.ndarray, weights: np.ndarray, safe: bool, at: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+            rows = np.arange(len(at))
+            e = hk @ weights
+            if not safe:
+                e -= e.max(1, keepdims=True)
+            chosen = e[rows, at]
             np.exp(e, out=e)
-            t = e.sum(1)
-            out[at : at + 2048] = chosen - np.log(t)
+            t = e @ ones
+            if g is None:
+                return chosen - np.log(t), None
+            # t times the gradient of the scores, and back
+            e[rows, at] -= t
+            less = (-1 / t)[:, None]
+            g += (hk * less).T @ e
+            back = e @ weights[:k].T
+            back *= less
+            return chosen - np.log(t), back
+
+        # words by class: each class is one run of rows; some rows at a time, so that their scores stay in the cache
+        order = np.argsort(cls.astype(np.int16) if len(c[0]) < 1 << 15 else cls, kind="stable")
+        ks, ps, hs = cls[order], pos[order], np.empty((len(y), k + 1), h.dtype)
+        hs[:, :k], hs[:, k] = h[order], 1
+        got, more = np.empty(len(y)), None if grads is None else np.empty_like(h)
+        gc, gw = (None, [None] * len(w)) if grads is None else (np.zeros_like(c), np.zeros_like(w))
+        ones, safe = np.ones(c.shape[1], h.dtype), bool(bounded(p["c"], p["cb"]))
+        for a in range(0, len(y), CHUNK):
+            rows = slice(a, a + CHUNK)
+            got[rows], back = softmax(hs[rows], c, safe, ks[rows], gc)
             if grads is not None:
-                e /= -t[:, None]
-                e[rows, k] += 1
-                grads["c"] += hk.T @ e
-                grads["cb"] += e.sum(0)
-                dh[at : at + 2048] = e @ p["c"].T
-        # words by class: each class is one run of rows
-        order = np.argsort(cls, kind="stable")
-        hs, ps, got = h[order], pos[order], np.empty(len(y))
-        more = None if grads is None else np.empty_like(h)
-        cuts = np.flatnonzero(np.diff(cls[order], prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-            k, hk, rows = cls[order[a]], hs[a:b], np.arange(b - a)
-            e = hk @ p["w"][k]
-            e += p["wb"][k]
-            e -= e.max(1, keepdims=True)
-            chosen = e[rows, ps[a:b]]
-            np.exp(e, out=e)
-            t = e.sum(1)
-            got[a:b] = chosen - np.log(t)
-            if grads is not None:
-                e /= -t[:, None]
-                e[rows, ps[a:b]] += 1
-                grads["w"][k] += hk.T @ e
-                grads["wb"][k] += e.sum(0)
-                more[a:b] = e @ p["w"][k].T
-        out[order] += got
+                more[rows] = back
+        ones, safes = np.ones(self.m, h.dtype), bounded(p["w"], p["wb"])
+        cuts = np.flatnonzero(np.diff(ks, prepend=-1))
+        for start, end in zip(cuts, np.append(cuts[1:], len(y))):
+            one = ks[start]
+            for a in range(start, end, CHUNK):
+                rows = slice(a, min(a + CHUNK, end))
+                logs, back = softmax(hs[rows], w[one], safes[one], ps[rows], gw[one])
+                got[rows] += logs
+                if grads is not None:
+                    more[rows] += back
+        out[order] = got
         if grads is not None:
-            dh[order] += more
+            grads["c"] += gc[:k]
+            grads["cb"] += gc[k]
+            grads["w"] += gw[:, :k]
+            grads["wb"] += gw[:, k]
+            dh[order] = more
         return out, dh
 
     def train(self, docs: list[np.ndarray], begin: float = 0.0, end: float = 1.0, lanes: int = TRAIN_LANES, window: int = WINDOW, rate: float = 0.02, seed: int = 5) -> None:
@@ -130,9 +157,10 @@ class GatedModel:
         if not docs:
             return
         rng = np.random.default_rng(seed)
-        p = self.p
-        mean = {k: np.zeros_like(v) for k, v in p.items()}
-        square = {k: np.zeros_like(v) for k, v in p.items()}
+        # all parameters, their gradients and moments in one block each
+        flat, self.p = self._flat(self.p)
+        slope, grads = self._flat({k: np.zeros_like(v) for k, v in self.p.items()})
+        mean, square = np.zeros_like(flat), np.zeros_like(flat)
         docs = [docs[i] for i in rng.permutation(len(docs))]
         y = np.concatenate(docs)
         first = np.zeros(len(y), bool)
@@ -143,54 +171,94 @@ class GatedModel:
         # the last lane is filled up with the first words
         fill = np.arange(lanes * length) % len(y)
         x, y, first = (v[fill].reshape(lanes, length) for v in (x, y, first))
-        h = np.zeros((lanes, p["u"].shape[0]), np.float32)
+        h = np.zeros((lanes, self.p["u"].shape[0]), np.float32)
         for number, at in enumerate(range(0, length, window), 1):
             done = begin + (end - begin) * at / length
-            h = self._learn(x[:, at : at + window].T, y[:, at : at + window].T, first[:, at : at + window].T, h, mean, square, number, rate / (1 + 3 * done))
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients of the log-likelihood of ``y`` (step, lane) from state ``h``, the last state, and the log-likelihood."""
+            part = slice(at, at + window)
+            _, h, _ = self.gradients(x[:, part].T, y[:, part].T, first[:, part].T, h, grads)
+            self._learn(flat, slope, mean, square, 1 / y[:, part].size, number, rate / (1 + 3 * done))
+
+    @staticmethod
+    def _flat(arrays: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """One block with a copy of all ``arrays``, and their views in it."""
+        flat, views, at = np.concatenate([v.ravel() for v in arrays.values()]), {}, 0
+        for k, v in arrays.items():
+            views[k] = flat[at : at + v.size].reshape(v.shape)
+            at += v.size
+        return flat, views
+
+    def gradients(
+        self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, grads: dict[str, np.ndarray] | None = None
+    ) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradients of the log-likelihood of ``y`` (step, lane) from state ``h``, the last state, and the log-likelihood.
+
+        They are added to ``grads``, if given.
+        """
         p, k = self.p, h.shape[1]
-        grads = {name: np.zeros_like(v) for name, v in p.items()}
-        trace, states = [], []
-        for xt, ft in zip(x, first):
-            h = np.where(ft[:, None], h.dtype.type(0), h)
-            new, z, r, n, b = self.step(xt, h)
-            trace.append((h, z, r, n, b))
-            states.append(new)
-            h = new
-        flat = np.concatenate(states)
-        logs, dh = self.log_probs(flat, y.ravel(), grads)
-        dh = dh.reshape(len(x), -1, k)
-        back, gates = np.zeros_like(h), np.empty((*x.shape, 3 * k), h.dtype)
+        if grads is None:
+            grads = {name: np.zeros_like(v) for name, v in p.items()}
+        starts_any, kept = first.any(1), (~first).astype(h.dtype)[:, :, None]
+        before, z, r, n, b, states = np.empty((6, *x.shape, k), h.dtype)
+        for t, xt in enumerate(x):
+            before[t] = h * kept[t] if starts_any[t] else h
+            states[t], z[t], r[t], n[t], b[t] = self.step(xt, before[t])
+            h = states[t]
+        logs, dh = self.log_probs(states.reshape(-1, k), y.ravel(), grads)
+        dh = dh.reshape(*x.shape, k)
+        # what a gradient of a state gives for its gates, for all steps at once
+        to_n = (1 - z) * (1 - n * n)
+        gates = np.empty((*x.shape, 3, k), h.dtype)
+        np.multiply(before - n, z * (1 - z), out=gates[:, :, 0])
+        np.multiply(to_n * b, r * (1 - r), out=gates[:, :, 1])
+        np.multiply(to_n, r, out=gates[:, :, 2])
+        back, turned = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, b = trace[t]
-            d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * b * r * (1 - r)
-            gate = np.concatenate([dz, dr, dn], 1)
-            gates[t] = gate
-            gate[:, 2 * k :] = dn * r
-            grads["u"] += before.T @ gate
-            back = np.where(first[t][:, None], h.dtype.type(0), d * z + gate @ p["u"].T)
-        # gradients of a word's inputs: one sum over all its places
-        order = np.argsort(x, axis=None, kind="stable")
-        words, starts = np.unique(x.ravel()[order], return_index=True)
-        grads["x"][words] += np.add.reduceat(gates.reshape(-1, 3 * k)[order], starts)
+            d = dh[t]
+            d += back
+            gates[t] *= d[:, None]
+            back = gates[t].reshape(-1, 3 * k) @ turned
+            back += d * z[t]
+            if starts_any[t]:
+                back *= kept[t]
+        grads["u"] += before.reshape(-1, k).T @ gates.reshape(-1, 3 * k)
+        np.multiply(to_n, dh, out=gates[:, :, 2])
+        # gradients of a word's inputs: one sum over all its places, of frequent words by a product with ones
+        order = np.argsort(x.astype(np.uint16) if self.size < 1 << 16 else x, axis=None, kind="stable")
+        words, starts, counts = np.unique(x.ravel()[order], return_index=True, return_counts=True)
+        found = gates.reshape(-1, 3 * k)[order]
+        sums, ones, few = found[starts], np.ones(len(found), h.dtype), counts <= 8
+        for w in np.flatnonzero(~few):
+            np.dot(ones[: counts[w]], found[starts[w] : starts[w] + counts[w]], out=sums[w])
+        for more in range(1, 8):
+            some = np.flatnonzero(few & (counts > more))
+            sums[some] += found[starts[some] + more]
+        grads["x"][words] += sums
         return grads, h, float(logs.sum())
 
-    def _learn(self, x, y, first, h, mean, square, number: int, rate: float) -> np.ndarray:
-        grads, h, _ = self.gradients(x, y, first, h)
-        p, scale = self.p, 1 / y.size
-        norm = math.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grads.values()))
+    def _learn(self, flat: np.ndarray, slope: np.ndarray, mean: np.ndarray, square: np.ndarray, scale: float, number: int, rate: float) -> None:
+        """One step of Adam along ``slope``, which becomes zero; in blocks that stay in the cache."""
+        norm = math.sqrt(float(slope @ slope)) * scale
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
-        for name, g in grads.items():
+        late = math.sqrt(1 - 0.99**number)
+        rate *= late / (1 - 0.9**number)
+        room = np.empty(BLOCK, flat.dtype)
+        for at in range(0, len(flat), BLOCK):
+            p, g, m, s = (v[at : at + BLOCK] for v in (flat, slope, mean, square))
+            t = room[: len(p)]
             g *= scale
-            mean[name] += 0.1 * (g - mean[name])
-            square[name] += 0.01 * (g * g - square[name])
-            p[name] += rate * (mean[name] / (1 - 0.9**number)) / (np.sqrt(square[name] / (1 - 0.99**number)) + 1e-6)
-        return h
+            np.multiply(g, 0.1, out=t)
+            m *= 0.9
+            m += t
+            g *= g
+            g *= 0.01
+            s *= 0.99
+            s += g
+            np.sqrt(s, out=t)
+            t += 1e-6 * late
+            np.divide(m, t, out=t)
+            t *= rate
+            p += t
+            g[:] = 0
 
     def score(self, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
         """Natural log-likelihood of each whole document."""
@@ -227,19 +295,22 @@ class GatedModel:
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (word, n) over all of ``docs``; the end of a document is the empty word."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for pdf in batches:
-            for text in pdf["t"]:
+        for batch in batches:
+            for text in batch.column("t").to_pylist():
                 seen.update(words_of(text))
-            seen[b""] += len(pdf)
+            seen[b""] += len(batch)
             if len(seen) > 400_000:
-                yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+                yield rows(seen)
                 seen.clear()
         if seen:
-            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+            yield rows(seen)
 
-    found = docs.select(F.col(text_col).alias("t")).mapInPandas(run, "word binary, n long")
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -264,28 +335,42 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
 
 
+def packed(model: GatedModel) -> str:
+    """How the numbers of a text's words travel."""
+    return "<u2" if model.size <= 1 << 16 else "<i4"
+
+
 def fit_model(model: GatedModel, train: DataFrame, words: int, number: dict[bytes, int], rare: int, share: float = FIT_SHARE, rounds: int = ROUNDS, copy_words: int = COPY_WORDS) -> None:
     """Train ``model`` on the texts t of ``train``, or of a ``share`` of it drawn by a hash of id and text.
 
     Each round takes its own part of them.  Copies of the model learn from a group
     of texts each and are averaged by their words; the driver sees one set of parameters
-    a round.  ``words`` is the number of words of ``train``.
+    a round.  ``words`` is the number of words of ``train``.  Instead of id and t, rows may
+    have their hash h and the numbers of their words, packed.
     """
     spark = train.sparkSession
     names = sorted(model.p)
     copies = max(1, int(words * share) // copy_words)
-    place = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 20)) / float(1 << 20)
+    kind = packed(model)
+    if "numbers" not in train.columns:
+
+        def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = [np.array([number.get(w, rare) for w in [*words_of(t), b""]], kind).tobytes() for t in pdf["t"]]
+                yield pd.DataFrame({"h": pdf["h"], "numbers": found})
+
+        train = train.select(F.xxhash64("id", "t").alias("h"), "t").mapInPandas(numbered, "h long, numbers binary")
+    place = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
 
     for turn in range(rounds):
         part = train.where((place >= share * turn / rounds) & (place < share * (turn + 1) / rounds))
-        sent = spark.sparkContext.broadcast((model, number, rare))
+        sent = spark.sparkContext.broadcast(model)
 
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            model, number, rare = sent.value  # noqa: B023
             # one order of the texts, so that reruns agree
-            pdf = pdf.sort_values(["h", "t"], na_position="first")
-            texts = [np.array([number.get(w, rare) for w in [*words_of(t), b""]], np.int32) for t in pdf["t"]]
-            mine = copy.deepcopy(model)
+            pdf = pdf.sort_values(["h", "numbers"])
+            texts = [np.frombuffer(y, kind).astype(np.int32) for y in pdf["numbers"]]
+            mine = copy.deepcopy(sent.value)  # noqa: B023
             mine.train(texts, turn / rounds, (turn + 1) / rounds)  # noqa: B023
             weight = float(sum(map(len, texts)))
             flat = np.concatenate([mine.p[k].ravel() for k in names])
@@ -301,7 +386,7 @@ def fit_model(model: GatedModel, train: DataFrame, words: int, number: dict[byte
             yield pd.DataFrame([(b, (v / w).astype("<f4").tobytes()) for b, (w, v) in total.items()], columns=["block", "values"])
 
         # a group is a copy's words, about copy_words over rounds
-        dealt = part.select("t", F.xxhash64("id", "t").alias("h")).withColumn("copy", F.pmod(F.xxhash64("h"), F.lit(copies)))
+        dealt = part.select("numbers", "h").withColumn("copy", F.pmod(F.xxhash64("h"), F.lit(copies)))
         learnt = dealt.groupBy("copy").applyInPandas(learn, "block int, weight double, values binary")
         blocks = learnt.repartition(F.col("block")).sortWithinPartitions("block", "weight", "values").mapInPandas(add, "block int, values binary")
         # as many rows as the model has blocks of parameters
@@ -327,9 +412,9 @@ def score_documents(
     repeated rows count and return as often as they occur; an empty table gives an empty
     result; other columns are ignored.
     """
-    # ids travel as text, as pandas would turn longs with nulls into floats
-    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
     usable = F.coalesce(usable, F.lit(False))
+    # ids travel as text, as pandas would turn longs with nulls into floats
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(id_col, text_col).alias("h"), (usable & F.col(id_col).isNotNull()).alias("fits"))
     train = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     counts = materialize(count_words(train, "t"), "lm-counts")
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -342,54 +427,68 @@ def score_documents(
     model = GatedModel(np.array([r[1] for r in ranked], float))
     number = {w: i for i, (w, _) in enumerate(ranked) if w is not None}
 
-    fit_model(model, train.where("id is not null"), int(n_all), number, rare, fit_share)
-
     known = {w: (i, n, number.get(w, rare)) for i, (w, n) in enumerate(top)}
-    sent = docs.sparkSession.sparkContext.broadcast((known, model, rare))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(known)
     log_all = math.log10(n_all + ALPHA * (n_distinct + 1))
     log_oov = math.log10(max(oov_mass, ALPHA))
+    packing = packed(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, model, rare = sent.value
-        count = np.array([n for _, n, _ in known.values()] + [0], float)
+        known = sent.value
         rank = np.array([r for _, _, r in known.values()] + [rare])
-        logs = np.log10(count + ALPHA)
+        # other words add nothing here; their counts come later
+        logs = np.append(np.log10(np.array([n for _, n, _ in known.values()], float) + ALPHA), 0.0)
         index = {w: i for w, (i, _, _) in known.items()}
         none, task, at = len(index), TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            main, tail, seqs = [], [], []
-            for key, text in zip(pdf["id"], pdf["t"]):
+        for batch in batches:
+            rows, tails, times, ends = [], [], [], [0]
+            for text in batch.column("t").to_pylist():
                 words = words_of(text)
                 words.append(b"")
-                found = np.array([index.get(w, none) for w in words])
-                out = found == none
-                row, at = task << 40 | at, at + 1
+                found = np.fromiter(map(index.get, words, repeat(none)), np.int32, len(words))
+                out = np.flatnonzero(found == none)
                 y = rank[found]
-                oov = y == rare
-                inside = ~out
-                main.append((row, key, len(words), int(inside.sum()), float(logs[found[inside]].sum()) - len(words) * log_all, float(logs[found[oov & inside]].sum()) - int(oov.sum()) * log_oov))
-                seqs.append(y)
-                tail += [(row, w, n) for w, n in Counter(words[i] for i in np.flatnonzero(out)).items()]
-            scores = model.score(seqs) / math.log(10)
-            got = pd.DataFrame(main, columns=["row", "id", "n_tokens", "known", "base", "score"])
-            got["score"] += scores
-            got["main"] = True
-            rest = pd.DataFrame(tail, columns=["row", "word", "tf"])
-            rest["main"] = False
-            yield pd.concat([got, rest]).reindex(columns=names).astype({"n_tokens": "Int64", "known": "Int64", "tf": "Int64"})
+                oov = found[y == rare]
+                base = float(logs[found].sum()) - len(words) * log_all
+                spelt = float(logs[oov].sum()) - len(oov) * log_oov
+                rows.append((task << 40 | at, len(words), len(words) - len(out), base, spelt, y.astype(packing).tobytes()))
+                at += 1
+                tail = Counter([words[i] for i in out])
+                tails += tail.keys()
+                times += tail.values()
+                ends.append(len(tails))
+            if rows:
+                made = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()])]
+                ends = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(tails, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "fits")), *made, *lists], names)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = final.value.score([np.frombuffer(y, packing).astype(np.int32) for y in pdf["numbers"]]) / math.log(10)
+            yield pdf.drop(columns="numbers").assign(score=found + pdf["spelt"]).drop(columns="spelt")
 
     kind = dict(docs.dtypes)[id_col]
-    names = ["main", "row", "id", "n_tokens", "known", "base", "score", "word", "tf"]
-    passed = slim.mapInPandas(run, "main boolean, row long, id string, n_tokens long, known long, base double, score double, word binary, tf long")
+    names = ["id", "h", "fits", "row", "n_tokens", "known", "base", "spelt", "numbers", "words", "times"]
+    # texts are read once; training and scoring take the numbers of their words
+    passed = slim.mapInArrow(
+        read, "id string, h long, fits boolean, row long, n_tokens long, known long, base double, spelt double, numbers binary, words array<binary>, times array<long>"
+    )
     passed = materialize(passed, "lm-passed")
-    met = passed.where("not main").select("row", "word", "tf").join(counts, "word", "left")
+    sent.unpersist()
+    fit_model(model, passed.where("fits").select("h", "numbers"), int(n_all), number, rare, fit_share)
+    final = spark.sparkContext.broadcast(model)
+    main = passed.select("row", "id", "n_tokens", "known", "base", "spelt", "numbers").mapInPandas(score, "row long, id string, n_tokens long, known long, base double, score double")
+    main = materialize(main, "lm-scored")
+    met = passed.select("row", F.explode(F.arrays_zip("words", "times")).alias("tail")).select("row", F.col("tail.words").alias("word"), F.col("tail.times").alias("tf")).join(counts.hint("shuffle_hash"), "word", "left")
     logged = F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))
     # the end token, if no document was usable, is an unknown word like any other
     tails = met.groupBy("row").agg(F.sum(F.col("tf") * logged).alias("extra"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more"))
     zero = F.lit(0.0)
-    return passed.where("main").join(tails, "row", "left").select(
+    return main.join(tails, "row", "left").select(
         F.col("id").cast(kind).alias(id_col),
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

@@ -555,3 +555,47 @@ def test_recurrent_weights_learn_from_every_document(spark):
     lm_score.fit_model(model, train, 40 * 51, number, 41)
     # only words that were read change their inputs
     assert (model.p["x"] != before).any(1)[1:41].all()
+
+
+def test_training_takes_numbers_of_words(spark):
+    words = [b"w%d" % i for i in range(40)]
+    number = {b"": 0} | {w: i + 1 for i, w in enumerate(words)}
+    rng = np.random.default_rng(2)
+    texts = [" ".join("w%d" % k for k in rng.integers(0, 45, 60)) for _ in range(40)]
+    train = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    packed = {t: np.array([number.get(w, 41) for w in [*t.encode().split(), b""]], "<u2").tobytes() for t in texts}
+    hashes = train.select("t", F.xxhash64("id", "t").alias("h")).collect()
+    numbered = spark.createDataFrame([(r.h, packed[r.t]) for r in hashes], "h long, numbers binary")
+    # texts need not be read again in every round
+    models = [lm_score.GatedModel(np.full(42, 50.0)) for _ in range(2)]
+    for model, rows in zip(models, (train, numbered)):
+        lm_score.fit_model(model, rows, 40 * 61, number, 41)
+    assert all(np.array_equal(models[0].p[k], models[1].p[k]) for k in models[0].p)
+
+
+def test_scores_of_any_size_are_a_distribution():
+    rng = np.random.default_rng(4)
+    for spread in (0.1, 3.0, 300.0):
+        m = lm_score.GatedModel(np.arange(10, 0, -1).astype(float), hidden=4, class_words=4)
+        m.p = {k: v if k == "wb" else (spread * rng.standard_normal(v.shape)).astype(np.float32) for k, v in m.p.items()}
+        h = rng.uniform(-1, 1, (300, 4)).astype(np.float32)
+        logs = np.array([m.log_probs(h, np.full(300, y))[0] for y in range(10)])
+        assert np.isfinite(logs).all() and np.allclose(np.exp(logs).sum(0), 1, atol=1e-4)
+
+
+def test_one_step_of_adam():
+    rng = np.random.default_rng(5)
+    m = lm_score.GatedModel(np.ones(5), hidden=2, class_words=2)
+    p, mean, square = np.zeros(40_000), np.zeros(40_000), np.zeros(40_000)
+    q, qm, qs = p.copy(), p.copy(), p.copy()
+    for number in (1, 2, 3):
+        g = rng.standard_normal(40_000)
+        g[::7] = 0
+        slope = g.copy()
+        m._learn(p, slope, mean, square, 1 / 50, number, 0.02)
+        assert not slope.any()
+        g /= 50
+        g *= min(1, 1 / np.sqrt(g @ g))
+        qm, qs = qm + 0.1 * (g - qm), qs + 0.01 * (g * g - qs)
+        q = q + 0.02 * (qm / (1 - 0.9**number)) / (np.sqrt(qs / (1 - 0.99**number)) + 1e-6)
+        assert np.allclose(p, q, rtol=1e-9, atol=1e-12)
